@@ -121,6 +121,15 @@ def grouped(batches: Iterator[pa.RecordBatch], key: str, rows: int = 4096) -> It
         yield pa.Table.from_batches(held)
 
 
+def each_group(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """A table for each group, from batches sorted by key."""
+    for t in grouped(batches, key, 1):
+        k = t[key].to_numpy()
+        first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+        for lo, hi in zip(first, np.r_[first[1:], len(k)], strict=True):
+            yield t.slice(lo, hi - lo)
+
+
 def strings(values) -> pa.Array:
     return pa.array(values, pa.string())
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexkv.llm.common import U64, WordHashes, arrow_map, batch, binaries, grouped, longs, materialize, mix, put_file, shared_path, split_by_shard, to_shards, words_of
+from lexkv.llm.common import U64, WordHashes, arrow_map, batch, binaries, each_group, longs, materialize, mix, put_file, shared_path, split_by_shard, to_shards, words_of
 
 #: Tokens that a map task counts at a time, and bytes of text a shard stands for.
 CHUNK_TOKENS, SHARD_BYTES = 2_000_000, 2 << 20
@@ -103,7 +103,7 @@ def _merged_words(path: str):
     begin = WordHashes()[BEGIN]
 
     def task(batches):
-        for t in grouped(batches, "shard", 1):
+        for t in each_group(batches, "shard"):
             shard = t["shard"][0].as_py()
             w, n = _summed(_joined(t, "a", "<u8"), _joined(t, "n", "<i8"))
             put_file(f"{path}/words-{shard}", w.tobytes())
@@ -149,7 +149,7 @@ def _merged_pairs(path: str, heavy: np.ndarray, shards: int):
     """Writes a shard's pairs; gives what is known of heavy first words, of second words, and counts of counts."""
 
     def task(batches):
-        for t in grouped(batches, "shard", 1):
+        for t in each_group(batches, "shard"):
             shard = t["shard"][0].as_py()
             first = np.repeat(_joined(t, "a", "<u8"), _joined(t, "runs", "<u4"))
             second = _joined(t, "b", "<u8")
@@ -182,7 +182,7 @@ def _merged_pairs(path: str, heavy: np.ndarray, shards: int):
 
 def _merged_seconds(path: str):
     def task(batches):
-        for t in grouped(batches, "shard", 1):
+        for t in each_group(batches, "shard"):
             shard = t["shard"][0].as_py()
             w, n = _summed(_joined(t, "a", "<u8"), _joined(t, "n", "<i8"))
             put_file(f"{path}/second-{shard}", w.tobytes())

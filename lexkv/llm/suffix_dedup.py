@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexkv.llm.common import U64, arrow_map, batch, binaries, grouped, longs, mix, put_file, shared_path, split_by_shard, strings, to_shards
+from lexkv.llm.common import U64, arrow_map, batch, binaries, each_group, longs, mix, put_file, shared_path, split_by_shard, strings, to_shards
 
 LENGTH = 200
 GRAM = 64
@@ -195,7 +195,7 @@ BITS = "block long, shard long, n long, repeated binary, first binary"
 
 
 def _compared(batches):
-    for t in grouped(batches, "shard", 1):
+    for t in each_group(batches, "shard"):
         parts = [np.frombuffer(x.as_py(), dtype="<u8") for x in t["names"]]
         sizes = [len(x) for x in parts]
         u, at, inv, n = np.unique(np.concatenate(parts), return_index=True, return_inverse=True, return_counts=True)
@@ -211,7 +211,7 @@ def _compared(batches):
 
 def _written(path: str):
     def task(batches):
-        for t in grouped(batches, "block", 1):
+        for t in each_group(batches, "block"):
             sizes = t["n"].to_pylist()
             bits = [np.concatenate([np.unpackbits(np.frombuffer(x.as_py(), dtype=np.uint8), count=k) for x, k in zip(t[c], sizes, strict=True)]) for c in ("repeated", "first")]
             put_file(f"{path}/{t['block'][0].as_py()}", (bits[0] | bits[1] << 1).astype(np.uint8).tobytes())
