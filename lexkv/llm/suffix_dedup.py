@@ -91,7 +91,8 @@ class Piece:
         none = np.zeros(width - 1, dtype=U64)
         most = _slide(np.concatenate([none, np.where(fits, self.least, U64(0)), none]), width, np.maximum)
         self.sampled = np.flatnonzero(most == grams)
-        self.names = grams[self.sampled]
+        # least names are small numbers: mixed again, they spread over the shards
+        self.names = mix(grams[self.sampled])
         j = np.searchsorted(self.sampled, self.sampled + length - gram)
         doc = np.searchsorted(self.starts, self.sampled, side="right") - 1
         ok = j < len(self.sampled)
@@ -111,7 +112,7 @@ class Piece:
         if not len(self.least):
             return self.valid
         new = np.flatnonzero(np.r_[True, self.least[1:] != self.least[:-1]])
-        hit = _among(self.least[new], repeated)
+        hit = _among(mix(self.least[new]), repeated)
         return self.valid & np.repeat(hit, np.diff(np.r_[new, len(self.least)]))
 
     def inside(self, ok: np.ndarray) -> np.ndarray:
