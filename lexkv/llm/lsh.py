@@ -98,7 +98,8 @@ def bucket_edges(buckets: DataFrame, payload: DataFrame, passes: Callable, width
     full = buckets.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     members = buckets.join(full, "key").withColumn("parts", F.ceil(F.col("n") / BLOCK)).drop("n")
     rows = dealt(members, "key", "parts").drop("key").join(payload, "cid")
-    rows = rows.repartition("meet").sortWithinPartitions("meet")
+    # in order of cid, so that buckets that share members tend to share their roots
+    rows = rows.repartition("meet").sortWithinPartitions("meet", "cid")
     return arrow_map(rows, _bucket_task(passes, width, dtype), "a long, b long").filter("a <> b").distinct()
 
 
@@ -153,7 +154,7 @@ def exact_links(members: DataFrame, linked: Callable, name: str) -> tuple[DataFr
     size = members.groupBy("comp").agg(F.count("*").alias("n"), F.sum(F.length("payload")).alias("bytes"))
     parts = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES))
     rows = dealt(members.join(size, "comp").withColumn("parts", parts).drop("n", "bytes"), "comp", "parts")
-    rows = rows.select("meet", "blk", "cid", "copies", "payload").repartition("meet").sortWithinPartitions("meet")
+    rows = rows.select("meet", "blk", "cid", "copies", "payload").repartition("meet").sortWithinPartitions("meet", "cid")
     found = materialize(arrow_map(rows, _exact_task(linked), "cid long, links long, root long", 256), f"{name}-links")
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     return links, components(found.filter("cid <> root").select(F.col("cid").alias("a"), F.col("root").alias("b")).distinct(), name)
