@@ -3,7 +3,7 @@
 Lexicons of words and word beginnings are induced from labelled rows. Voters
 over lexicon hits and patterns fire or abstain on each text. A generative label
 model, a tree of voters below the hidden label, estimates by EM over the votes
-on all rows how accurate the voters are and how they correlate. A linear
+on all rows, labelled ones with their labels, how accurate the voters are and how they correlate. A linear
 classifier on hit counts and rates is trained on its posterior labels.
 """
 
@@ -21,9 +21,9 @@ from lexkv.llm.common import arrow_map, batch, longs, materialize, strings
 
 #: Labelled rows the lexicons are induced from, and rows the classifier is fit on, at most; chosen by hash of doc_id.
 FIT_ROWS = 20_000
-#: Entries of the lexicon at most, by strength.
+#: Entries of the lexicon at most, by strength; what an entry's odds ratio, and its logarithm in standard errors, must reach.
 LEXICON = 2_000
-LEAST_ROWS, LEAST_ODDS = 6, 4.0
+LEAST_ODDS, LEAST_ERRORS = 20.0, 3.2
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.3
 WORD = re.compile(r"[^\W\d_]+")
@@ -41,6 +41,27 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+#: Bytes other than A-Z.
+_NOT_UPPER = bytes(c for c in range(256) if not 65 <= c <= 90)
+
+
+class Hits(dict):
+    """word -> (strength, group, strength and group of its strongest beginning), or None for a word without entries."""
+
+    def __init__(self, entries: dict[str, tuple[float, int]]):
+        super().__init__()
+        self.entries = entries
+
+    def __missing__(self, word: str):
+        if len(self) >= WORDS_KEPT:
+            self.clear()
+        none = (0.0, -1)
+        w = self.entries.get(word, none)
+        p = max((self.entries.get(word[:n] + "*", none) for n in PREFIXES if len(word) > n), default=none)
+        x = self[word] = (*w, *p) if w[0] or p[0] else None
+        return x
+
+
 @dataclass
 class Lexicon:
     """entry -> (strength, group); words as they are, beginnings with a trailing *."""
@@ -48,30 +69,19 @@ class Lexicon:
     entries: dict[str, tuple[float, int]]
 
     def __post_init__(self):
-        self.memo: dict[str, tuple[float, int, float, int]] = {}
-
-    def of(self, word: str) -> tuple[float, int, float, int]:
-        """Strength and group of the word, then of its strongest beginning; 0 and -1 where there is none."""
-        if (x := self.memo.get(word)) is None:
-            if len(self.memo) >= WORDS_KEPT:
-                self.memo.clear()
-            w = self.entries.get(word, (0.0, -1))
-            p = max((self.entries.get(word[:n] + "*", (0.0, -1)) for n in PREFIXES if len(word) > n), default=(0.0, -1))
-            x = self.memo[word] = (*w, *p)
-        return x
+        self.hits = Hits(self.entries)
 
     def features(self, text: str) -> tuple[list[float], int]:
         """Numbers for the classifier, and the voters that fire as bits."""
         words = WORD.findall(text.lower())
         n = max(len(words), 1)
-        hits = [(w, *x) for w, x in zip(words, map(self.of, words), strict=True) if x[0] or x[2]]
+        hits = [(w, *x) for w, x in zip(words, map(self.hits.__getitem__, words), strict=True) if x]
         lex = [h for h in hits if h[1]]
         pre = [h for h in hits if h[3]]
         n_word, n_pre, kinds, pre_kinds = len(lex), len(pre), len({h[0] for h in lex}), len({h[0] for h in pre})
         groups, pre_groups = {h[2] for h in lex}, [h[4] for h in pre]
-        strong = sum(h[1] > 3 for h in lex)
-        letters = sum(map(len, words)) or 1
-        upper = sum(map(str.isupper, text)) / letters
+        strong = sum(h[1] > 6 for h in lex)
+        upper = len(text.encode("utf-8", "surrogatepass").translate(None, _NOT_UPPER)) / max(len(text), 1)
         votes = [0 in groups, 1 in groups, 2 in groups, pre_groups.count(0) > 1, pre_groups.count(1) > 1, kinds > 1, pre_kinds > 2, (n_word + n_pre) / n > 0.01, not n_word, n_pre < 2, (n_word + n_pre) / n < 0.002, upper > 0.4]
         x = [np.log1p(n_word), np.log1p(n_pre), np.log1p(kinds), np.log1p(pre_kinds), np.log1p(strong), n_word > 0, n_word > 1, n_pre > 1, pre_kinds > 2, 100 * n_word / n, 100 * n_pre / n, sum(h[1] for h in lex) / (5 + n_word), sum(h[3] for h in pre) / (5 + n_pre), np.log1p(n)]
         return [float(v) for v in x], sum(1 << k for k, v in enumerate(votes) if v)
@@ -93,8 +103,8 @@ def _entries(batches):
         yield batch(entry=strings(out), toxic=longs(toxic))
 
 
-def induced(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[Lexicon, float]:
-    """A lexicon from labelled rows that are not held out, and the share of toxic rows among them."""
+def induced(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[Lexicon, DataFrame]:
+    """A lexicon from labelled rows that are not held out, and these rows' labels (doc_id, toxic)."""
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = sampled(known.groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic")), fit_rows)
     known = materialize(known.coalesce(1), "toxic-labels")
@@ -103,27 +113,30 @@ def induced(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tup
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # fit_rows rows at most
     seen = arrow_map(rows.select("text", "toxic"), _entries, "entry string, toxic long")
     seen = seen.groupBy("entry").agg(F.sum("toxic").alias("pos"), F.count("*").alias("n"))
-    odds = F.log(((F.col("pos") + 0.5) / (pos + 1)) / ((F.col("n") - F.col("pos") + 0.5) / (neg + 1)))
-    least = max(2, min(LEAST_ROWS, pos // 20))
-    best = seen.filter(F.col("pos") >= least).withColumn("odds", odds).filter(F.col("odds") >= float(np.log(LEAST_ODDS)))
-    best = best.orderBy(F.desc(F.col("odds") * F.sqrt("pos")), "entry").limit(LEXICON).collect()
+    a, b = F.col("pos") + 0.5, F.col("n") - F.col("pos") + 0.5
+    seen = seen.withColumn("odds", F.log((a / (pos + 1)) / (b / (neg + 1)))).withColumn("sure", F.col("odds") / F.sqrt(1 / a + 1 / b))
+    best = seen.filter((F.col("odds") >= float(np.log(LEAST_ODDS))) & (F.col("sure") >= LEAST_ERRORS))
+    best = best.orderBy(F.desc("sure"), "entry").limit(LEXICON).collect()
     place = {True: 0, False: 0}
     entries = {}
     for r in best:
         prefix = r.entry.endswith("*")
         entries[r.entry] = (float(r.odds), place[prefix] % (2 if prefix else 3))
         place[prefix] += 1
-    return Lexicon(entries), pos / max(pos + neg, 1)
+    return Lexicon(entries), known
 
 
 class LabelModel:
     """P(label), and P(voter fires | label, its parent in a tree of voters), from counts of vote patterns."""
 
-    def __init__(self, patterns: np.ndarray, counts: np.ndarray, start: np.ndarray, rounds: int = 30, smooth: float = 1.0):
+    def __init__(self, patterns: np.ndarray, counts: np.ndarray, known: np.ndarray, rounds: int = 20, smooth: float = 1.0):
+        """counts: rows of each pattern; known: of the labelled ones, rows of label 0 and 1. The known rows weigh as much as all rows."""
         m = len(VOTERS)
         self.v = (patterns[:, None] >> np.arange(m)) & 1
         self.counts = counts.astype(float)
-        post = start
+        self.known = known * (counts.sum() / max(known.sum(), 1))
+        share = (known[:, 1].sum() + 0.5) / (known.sum() + 5)
+        post = (known[:, 1] + share) / (known.sum(axis=1) + 1)
         for k in range(rounds):
             if k % 10 == 0:
                 parent = self.tree(post)
@@ -135,7 +148,7 @@ class LabelModel:
         m = self.v.shape[1]
         info = np.zeros((m, m))
         for y in (0, 1):
-            w = self.counts * (post if y else 1 - post)
+            w = self.counts * (post if y else 1 - post) + self.known[:, y]
             total = w.sum() + 4
             for i in range(m):
                 for j in range(i):
@@ -156,8 +169,8 @@ class LabelModel:
     def step(self, post: np.ndarray, parent: np.ndarray, smooth: float) -> np.ndarray:
         log = np.zeros((2, len(post)))
         for y in (0, 1):
-            w = self.counts * (post if y else 1 - post)
-            log[y] = np.log((w.sum() + smooth) / (self.counts.sum() + 2 * smooth))
+            w = self.counts * (post if y else 1 - post) + self.known[:, y]
+            log[y] = np.log((w.sum() + smooth) / (self.counts.sum() + self.known.sum() + 2 * smooth))
             for j, (_, kind) in enumerate(VOTERS):
                 up = self.v[:, parent[j]] if parent[j] >= 0 else np.zeros(len(post), dtype=int)
                 for a in (0, 1):
@@ -199,7 +212,7 @@ class Classifier:
 
 
 def trained(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Classifier:
-    lexicon, share = induced(docs, labels, fit_rows)
+    lexicon, known = induced(docs, labels, fit_rows)
 
     def votes(batches):
         for b in batches:
@@ -209,16 +222,14 @@ def trained(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Cla
 
     rows = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
     rows = materialize(arrow_map(rows, votes, "doc_id long, held_out boolean, x array<double>, pattern long"), "toxic-votes")
-    counted = rows.groupBy("pattern").count().collect()  # 2^12 patterns at most
-    patterns = np.array([r["pattern"] for r in counted], dtype=np.int64)
-    counts = np.array([r["count"] for r in counted], dtype=float)
+    seen = rows.join(F.broadcast(known), "doc_id", "left")  # fit_rows rows at most
+    seen = seen.groupBy("pattern").agg(F.count("*").alias("n"), F.count(F.when(F.col("toxic") == 0, 1)).alias("no"), F.count(F.when(F.col("toxic") == 1, 1)).alias("yes"))
+    counted = seen.collect()  # 2^12 patterns at most
+    patterns = np.array([r.pattern for r in counted], dtype=np.int64)
+    counts = np.array([r.n for r in counted], dtype=float)
     if not len(patterns):
         return Classifier(lexicon, np.zeros(FEATURES), np.ones(FEATURES), np.r_[np.zeros(FEATURES), -3.0])
-    fires = (patterns[:, None] >> np.arange(len(VOTERS))) & 1
-    sides = np.array([1.0 if kind else -1.0 for _, kind in VOTERS])
-    lean = fires @ sides
-    start = 1 / (1 + np.exp(-(lean + np.log(max(share, 0.01) / (1 - min(share, 0.99))) + 1)))
-    model = LabelModel(patterns, counts, start)
+    model = LabelModel(patterns, counts, np.array([[r.no, r.yes] for r in counted], dtype=float))
     posterior = dict(zip(patterns.tolist(), model.post.tolist(), strict=True))
     fit = sampled(rows.filter(~F.col("held_out")).select("doc_id", "x", "pattern"), fit_rows).collect()
     if not fit:
