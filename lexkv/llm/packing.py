@@ -45,8 +45,14 @@ class WordTokens(dict):
             new = list(words)
         for lo in range(0, len(new), 4096):
             part = new[lo : lo + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                self[w] = np.array(e.ids, dtype="<u4").tobytes()
+            texts = [w.decode("utf-8", "replace") for w in part]
+            # one text of many words costs less than many texts; offsets tell whose a token is
+            e = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+            ids = np.array(e.ids, dtype="<u4").tobytes()
+            at = np.array([x for x, _ in e.offsets], dtype=np.int64)
+            begin = np.cumsum([0] + [len(t) + 1 for t in texts])
+            cut = (4 * np.searchsorted(at, begin)).tolist()
+            self.update(zip(part, [ids[x:y] for x, y in zip(cut, cut[1:], strict=False)], strict=True))
 
     def ids(self, words: list[bytes]) -> bytes:
         return b"".join(map(self.__getitem__, words))
