@@ -10,8 +10,10 @@ sequences whose lengths are powers of two, which need no padding.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +26,27 @@ WINDOW = 2048
 END_ID = 1
 #: Open windows a task holds before it completes them by cutting.
 MAX_OPEN = 2048
-WORDS_KEPT = 500_000
+WORDS_KEPT = 800_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+#: Where ASCII marks follow a letter up to white space; there the tokenizer cuts in any case (an apostrophe may not).
+MARKS = re.compile(rb"(?<=[a-z])(?=[^\x00-\x20a-z0-9'\x7f-\xff]+(?:[\x20\x09-\x0d]|\Z))")
+
+
+def words_of(text: str | None) -> list[bytes]:
+    """Parts of a text that the tokenizer never joins. It lowers letters itself, so A-Z are lowered first."""
+    return MARKS.sub(b" ", text.encode("utf-8", "surrogatepass").lower()).split() if text else []
+
+
+@lru_cache(maxsize=2)
+def word_tokens(path: str) -> WordTokens:
+    """One for each Python worker: its tasks share what it has learnt."""
+    return WordTokens(path)
+
+
 class WordTokens(dict):
-    """Word between ASCII white space -> its token ids as little-endian bytes; the tokenizer joins no words across it."""
+    """Part of a text -> its token ids as little-endian bytes; see words_of."""
 
     def __init__(self, path: str):
         super().__init__()
@@ -183,11 +200,11 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
     """
 
     def task(batches):
-        tokens = WordTokens(tokenizer)
+        tokens = word_tokens(tokenizer)
         packer = Packer(window, TaskContext.get().partitionId() << 32)
         end = np.array([end_id], dtype="<u4").tobytes()
         for b in batches:
-            texts = [(x.as_py() or "").encode("utf-8", "surrogatepass").split() for x in b["text"]]
+            texts = [words_of(x.as_py()) for x in b["text"]]
             tokens.learn(set().union(*texts))
             for doc, words in zip(b["doc_id"].to_pylist(), texts, strict=True):
                 packer.add(doc, tokens.ids(words) + end)
