@@ -46,7 +46,7 @@ def fingerprint_of(hashes: np.ndarray) -> np.ndarray:
     low = np.full(VALUES, 0xFFFF, dtype=np.uint16)
     best = np.full(VALUES, 0xFFFFFFFFFFFFFFFF, dtype=U64)
     for k in range(0, len(hashes), PIECE):
-        best = np.minimum(best, (mix(hashes[None, k : k + PIECE] * _MUL)).min(axis=1))
+        best = np.minimum(best, (hashes[None, k : k + PIECE] * _MUL).min(axis=1))
     return mix(best).astype(np.uint16) if len(hashes) else low
 
 
