@@ -23,7 +23,7 @@ from lexkv.llm.common import arrow_map, batch, longs, materialize, strings
 FIT_ROWS = 20_000
 #: Entries of the lexicon at most, by strength; what an entry's odds ratio, and its logarithm in standard errors, must reach.
 LEXICON = 2_000
-LEAST_ODDS, LEAST_ERRORS = 20.0, 3.2
+LEAST_ODDS, LEAST_ERRORS = 20.0, 2.9
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.3
 WORD = re.compile(r"[^\W\d_]+")
