@@ -167,6 +167,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
 
 def deduplicated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs with one row of each near-duplicate component; rows without words stay. All columns are kept."""
-    keep = jaccard_join(docs, threshold).filter("kept").select(F.col("rid").alias("_rid"))
-    rows = docs.withColumn("_rid", F.monotonically_increasing_id())
-    return rows.join(keep, "_rid", "left_semi").drop("_rid")
+    rid = "_rid" + "_" * max(map(len, docs.columns))  # a name that no column has
+    keep = jaccard_join(docs, threshold).filter("kept").select(F.col("rid").alias(rid))
+    rows = docs.withColumn(rid, F.monotonically_increasing_id())
+    return rows.join(keep, rid, "left_semi").drop(rid)

@@ -22,6 +22,8 @@ SEED = 42
 MAX_SOURCES = 10_000
 #: Rows a bucket of a source's shuffled order holds on average.
 BUCKET_ROWS = 1024
+#: Columns that queued() adds or uses on the way.
+ADDED = ("source_size", "target", "cum", "n", "_source", "_key", "_bucket", "_tag", "_in", "_ahead")
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -59,7 +61,7 @@ def queued(docs: DataFrame, targets: DataFrame | None = None, seed: int = SEED,
     A source's running sums are made in buckets of the hash, so that no task
     holds a whole source: sums of buckets first, then sums inside each.
     """
-    rows = docs.withColumn("size", n_words(F.col("text")))
+    rows = docs.drop(*ADDED).withColumn("size", n_words(F.col("text")))
     if targets is None:
         targets = source_targets(rows.select("source", "size"), weights, budget, copies)
     t = targets.select(F.col("source").alias("_source"), "source_size", "n", "target")
@@ -102,8 +104,9 @@ def mixed(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, copies: int
     without words have size 0 and are never taken; a null source is a source of
     its own, the last; repeated rows are separate documents; a null doc_id is
     ordered like any other. Empty tables give empty results. Other columns
-    stay; the added names must not be among them.
+    stay, but added ones replace those of the same name.
     """
+    docs = docs.drop("copy", "virtual_finish", "taken", "_copy")
     q = queued(docs, None, seed, weights, budget, copies).withColumn("_copy", F.explode(served(copies)))
     q = q.filter("_copy.taken > 0").select("*", "_copy.*").drop("_copy")
     return q.orderBy("virtual_finish", "_key", "copy").drop("_key", "cum")
@@ -117,9 +120,12 @@ def mix_report(docs: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix with the columns of docs: a row for each copy, its text cut after the taken words, in order of finish times."""
-    names = docs.columns
+    """The mix with the columns of docs, whatever their names: a row for each copy, its text cut after the taken words, in order of finish times."""
+    names, used = docs.columns, ("doc_id", "text", "source")
+    rest = [c for c in names if c not in used]
+    docs = docs.select(*used, F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_rest")) if rest else docs
     m = mixed(docs)
     words = F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.col("taken").cast("int"))
     m = m.withColumn("text", F.when(F.col("taken") < F.col("size"), F.array_join(words, " ")).otherwise(F.col("text")))
-    return m.withColumn("n_chars", F.length("text").cast("long")).select(*names) if "n_chars" in names else m.select(*names)
+    length = F.length("text").cast("long").alias("n_chars")
+    return m.select(*[length if c == "n_chars" else F.col(c) if c in used else F.col("_rest").getField(c).alias(c) for c in names])
