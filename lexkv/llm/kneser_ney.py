@@ -13,7 +13,7 @@ shards know of them is summed.
 
 from __future__ import annotations
 
-import os
+import mmap
 from dataclasses import dataclass
 
 import numpy as np
@@ -66,6 +66,11 @@ def word_shard(words: np.ndarray, shards: int) -> np.ndarray:
     return (mix(words) >> _bits(shards)).astype(np.int64) if shards > 1 else np.zeros(len(words), dtype=np.int64)
 
 
+def by_shard(shard: np.ndarray) -> np.ndarray:
+    """The order by shard, else as before; small numbers are sorted in linear time."""
+    return np.argsort(shard.astype(np.uint16), kind="stable")
+
+
 def pair_shard(first: np.ndarray, second: np.ndarray, heavy: np.ndarray, shards: int) -> np.ndarray:
     key = first
     if len(heavy):
@@ -88,7 +93,7 @@ def _counted_words(shards: int):
         for k, h in enumerate(_chunks(batches)):
             u, n = np.unique(h, return_counts=True)
             s = word_shard(u, shards)
-            order = np.argsort(s, kind="stable")
+            order = by_shard(s)
             parts = list(split_by_shard(s[order], shards, u[order], n[order]))
             yield batch(shard=longs([p[0] for p in parts]), block=longs([k] * len(parts)), a=binaries([p[1][0].tobytes() for p in parts]), n=binaries([p[1][1].astype("<i8").tobytes() for p in parts]))
 
@@ -106,8 +111,7 @@ def _merged_words(path: str):
         for t in each_group(batches, "shard"):
             shard = t["shard"][0].as_py()
             w, n = _summed(_joined(t, "a", "<u8"), _joined(t, "n", "<i8"))
-            put_file(f"{path}/words-{shard}", w.tobytes())
-            put_file(f"{path}/counts-{shard}", n.astype("<i8").tobytes())
+            put_table(f"{path}/words-{shard}", w, n)
             real = w != begin
             top = np.argsort(-n, kind="stable")[: 8 * HEAVY]
             yield batch(shard=longs([shard]), words=longs([int(real.sum())]), tokens=longs([int(n[real].sum())]), top=binaries([w[top].tobytes()]), top_n=binaries([n[top].astype("<i8").tobytes()]))
@@ -126,7 +130,8 @@ def _counted_pairs(heavy: np.ndarray, shards: int):
             _, at, n = np.unique(key, return_index=True, return_counts=True)
             a, b = a[at], b[at]
             s = pair_shard(a, b, heavy, shards)
-            order = np.lexsort((b, a, s))
+            order = np.argsort(a, kind="stable")
+            order = order[by_shard(s[order])]
             s, a, b, n = s[order], a[order], b[order], n[order]
             rows = []
             for shard, (x, y, c) in split_by_shard(s, shards, a, b, n):
@@ -159,18 +164,16 @@ def _merged_pairs(path: str, heavy: np.ndarray, shards: int):
             u, at, inv = np.unique(key, return_index=True, return_inverse=True)
             n = np.bincount(inv, weights=n, minlength=len(u)).astype(np.int64)
             first, second = first[at], second[at]
-            put_file(f"{path}/pairs-{shard}", u.tobytes())
-            put_file(f"{path}/pair_counts-{shard}", n.astype("<u4").tobytes())
+            put_table(f"{path}/pairs-{shard}", u, n)
             w, inv = np.unique(first, return_inverse=True)
             stats = [np.bincount(inv, weights=x, minlength=len(w)).astype(np.int64) for x in (n, n == 1, n == 2, n > 2)]
             far = np.isin(w, heavy)
-            put_file(f"{path}/first-{shard}", w[~far].tobytes())
-            put_file(f"{path}/first_stats-{shard}", np.stack([x[~far] for x in stats]).astype("<i8").tobytes())
+            put_table(f"{path}/first-{shard}", w[~far], *[x[~far] for x in stats])
             rows = [("heavy", 0, w[far], *[x[far] for x in stats])] if far.any() else []
             rows.append(("counts", 0, np.zeros(0, dtype=U64), np.array([(n == k).sum() for k in (1, 2, 3, 4)]), *[np.zeros(0)] * 3))
             v, c = np.unique(second, return_counts=True)
             s = word_shard(v, shards)
-            order = np.argsort(s, kind="stable")
+            order = by_shard(s)
             none = np.zeros(0)
             rows += [("second", k, x, y, none, none, none) for k, (x, y) in split_by_shard(s[order], shards, v[order], c[order])]
             yield pa.RecordBatch.from_arrays(
@@ -185,8 +188,7 @@ def _merged_seconds(path: str):
         for t in each_group(batches, "shard"):
             shard = t["shard"][0].as_py()
             w, n = _summed(_joined(t, "a", "<u8"), _joined(t, "n", "<i8"))
-            put_file(f"{path}/second-{shard}", w.tobytes())
-            put_file(f"{path}/second_counts-{shard}", n.astype("<i8").tobytes())
+            put_table(f"{path}/second-{shard}", w, n)
             yield batch(pairs=longs([int(n.sum())]), n1=longs([int((n == 1).sum())]), n2=longs([int((n == 2).sum())]), n3=longs([int((n == 3).sum())]), n4=longs([int((n == 4).sum())]))
 
     return task
@@ -216,8 +218,22 @@ class Model:
         return Scorer(self)
 
 
-def _mapped(path: str, dtype: str) -> np.ndarray:
-    return np.memmap(path, dtype=dtype, mode="r") if os.path.exists(path) and os.path.getsize(path) else np.zeros(0, dtype=dtype)
+def put_table(path: str, keys: np.ndarray, *values: np.ndarray) -> None:
+    """Sorted keys and columns of counts in one file, counts in 4 bytes where all fit."""
+    width = 4 if all(x.max(initial=0) < 1 << 32 for x in values) else 8
+    head = np.array([len(keys), width], dtype="<u8")
+    put_file(path, b"".join([head.tobytes(), keys.astype("<u8").tobytes(), *[x.astype(f"<u{width}").tobytes() for x in values]]))
+
+
+def _mapped(path: str) -> tuple[np.ndarray, np.ndarray] | None:
+    """Keys and columns of a file of put_table(), mapped into memory; None where there are none."""
+    try:
+        with open(path, "rb") as f:
+            m = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+    except FileNotFoundError:
+        return None
+    n, width = np.frombuffer(m, "<u8", 2).tolist()
+    return (np.frombuffer(m, "<u8", n, 16), np.frombuffer(m, f"<u{width}", -1, 16 + 8 * n).reshape(-1, n)) if n else None
 
 
 class Scorer:
@@ -226,24 +242,22 @@ class Scorer:
     def __init__(self, model: Model):
         self.m = model
 
-    def lookup(self, shard: np.ndarray, keys: np.ndarray, keys_of: str, values_of: list[tuple[str, str]]) -> list[np.ndarray]:
-        """Values at keys, 0 where a key is missing. keys need not be sorted."""
-        out = [np.zeros(len(keys), dtype=np.int64) for _ in range(max(len(values_of), 1))]
-        order = np.lexsort((keys, shard))
-        s, k = shard[order], keys[order]
-        at = np.searchsorted(s, np.arange(self.m.shards + 1))
-        for x in np.flatnonzero(at[1:] > at[:-1]):
-            table = _mapped(f"{self.m.path}/{keys_of}-{x}", "<u8")
-            if not len(table):
-                continue
+    def lookup(self, shard: np.ndarray, keys: np.ndarray, tables: dict[str, int]) -> list[np.ndarray]:
+        """The columns of each table, of which it has so many, at sorted keys; 0 where a key is missing."""
+        out = {name: np.zeros((n, len(keys)), dtype=np.int64) for name, n in tables.items()}
+        order = by_shard(shard)
+        k = keys[order]
+        at = np.searchsorted(shard[order], np.arange(self.m.shards + 1))
+        for x in np.flatnonzero(at[1:] > at[:-1]).tolist():
             own = k[at[x] : at[x + 1]]
-            place = np.searchsorted(table, own).clip(max=len(table) - 1)
-            hit = np.flatnonzero(table[place] == own)
-            for j, (name, dtype) in enumerate(values_of):
-                values = _mapped(f"{self.m.path}/{name}-{x}", dtype)
-                rows, col = (j, len(table)) if name == "first_stats" else (0, 0)
-                out[j][order[at[x] + hit]] = values[rows * col + place[hit]]
-        return out
+            for name, found in out.items():
+                table = _mapped(f"{self.m.path}/{name}-{x}")
+                if table is None:
+                    continue
+                place = np.searchsorted(table[0], own).clip(max=len(table[0]) - 1)
+                hit = np.flatnonzero(table[0][place] == own)
+                found[:, order[at[x] + hit]] = table[1][:, place[hit]]
+        return list(out.values())
 
     def pieces(self, h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For every token of the texts its count in training and its log10 probability."""
@@ -253,9 +267,7 @@ class Scorer:
         first, second = h[:-1][ok], h[1:][ok]
         words, at = np.unique(h, return_inverse=True)
         shard = word_shard(words, m.shards)
-        (count,) = self.lookup(shard, words, "words", [("counts", "<i8")])
-        (before,) = self.lookup(shard, words, "second", [("second_counts", "<i8")])
-        stats = self.lookup(shard, words, "first", [("first_stats", "<i8")] * 4)
+        (count,), (before,), stats = self.lookup(shard, words, {"words": 1, "second": 1, "first": 4})
         if len(m.heavy):
             place = np.searchsorted(m.heavy, words).clip(max=len(m.heavy) - 1)
             far = m.heavy[place] == words
@@ -271,19 +283,21 @@ class Scorer:
         ia, ib = at[:-1][ok], at[1:][ok]
         key = pair_key(first, second)
         u, where, inv = np.unique(key, return_index=True, return_inverse=True)
-        (n,) = self.lookup(pair_shard(first[where], second[where], m.heavy, m.shards), u, "pairs", [("pair_counts", "<u4")])
+        ((n,),) = self.lookup(pair_shard(first[where], second[where], m.heavy, m.shards), u, {"pairs": 1})
         n = n[inv]
         direct = np.where(n > 0, (n - d[n.clip(max=3)]) / np.maximum(total[ia], 1), 0.0)
         return count[ib], np.log10(direct + back[ia] * lower[ib])
 
 
 def train(docs: DataFrame, shards: int | None = None) -> Model:
-    """The model of all rows of docs (text). shards, a power of two, follows the size of the texts."""
+    """The model of all rows of docs (text). shards, a power of two of 65536 at most, follows the size of the texts."""
     spark = docs.sparkSession
     texts = docs.select("text")
     if shards is None:
         size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         shards = 1 << max(4, min(16, (size // SHARD_BYTES).bit_length()))
+    if not 1 <= shards <= 1 << 16 or shards & (shards - 1):
+        raise ValueError("shards must be a power of two up to 65536")
     path = shared_path(spark, "kneser-ney")
     seen = to_shards(arrow_map(texts, _counted_words(shards), "shard long, block long, a binary, n binary"), shards)
     words = materialize(arrow_map(seen, _merged_words(path), "shard long, words long, tokens long, top binary, top_n binary", 64), "lm-words")
