@@ -87,8 +87,15 @@ class Lexicon:
         return [float(v) for v in x], sum(1 << k for k, v in enumerate(votes) if v)
 
 
-def sampled(rows: DataFrame, n: int) -> DataFrame:
-    """n rows at most, the first by hash of doc_id."""
+def sampled(rows: DataFrame, n: int, total: int) -> DataFrame:
+    """About n of `total` rows and n at most, the first by hash of doc_id; rows without doc_id are passed over.
+
+    The rows are first thinned to about 2 n by a bound on the hash, since every
+    task of a plain limit would hand n rows of its own to one task.
+    """
+    rows = rows.filter("doc_id is not null")
+    if total > 2 * n:
+        rows = rows.filter(F.xxhash64("doc_id") < int(2**64 * (2 * n / total)) - 2**63)
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
 
 
@@ -106,8 +113,8 @@ def _entries(batches):
 def induced(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[Lexicon, DataFrame]:
     """A lexicon from labelled rows that are not held out, and these rows' labels (doc_id, toxic)."""
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    known = sampled(known.groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic")), fit_rows)
-    known = materialize(known.coalesce(1), "toxic-labels")
+    known = known.groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic"))
+    known = materialize(sampled(known, fit_rows, known.count()).coalesce(1), "toxic-labels")
     totals = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     pos, neg = totals.get(1, 0), totals.get(0, 0)
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # fit_rows rows at most
@@ -231,7 +238,7 @@ def trained(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Cla
         return Classifier(lexicon, np.zeros(FEATURES), np.ones(FEATURES), np.r_[np.zeros(FEATURES), -3.0])
     model = LabelModel(patterns, counts, np.array([[r.no, r.yes] for r in counted], dtype=float))
     posterior = dict(zip(patterns.tolist(), model.post.tolist(), strict=True))
-    fit = sampled(rows.filter(~F.col("held_out")).select("doc_id", "x", "pattern"), fit_rows).collect()
+    fit = sampled(rows.filter(~F.col("held_out")).select("doc_id", "x", "pattern"), fit_rows, int(counts.sum())).collect()
     if not fit:
         return Classifier(lexicon, np.zeros(FEATURES), np.ones(FEATURES), np.r_[np.zeros(FEATURES), -3.0])
     x = np.array([r.x for r in fit], dtype=float)
@@ -243,7 +250,8 @@ def scored(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Data
 
     Null and empty texts are scored as texts without words. labels (doc_id,
     toxic): rows with null or other labels are ignored; of repeated ones the
-    largest label counts; labels that are held out are never read. Without
+    largest label counts; labels that are held out are never read. Rows without
+    doc_id are scored and voted on, but the classifier is not fit on them. Without
     labels or rows the scores are low and constant. Repeated rows repeat; extra
     columns are ignored; an empty table gives an empty result.
     """

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexkv.llm import jaccard_join, kneser_ney, lattice, mixing, packing, phrases, pii, suffix_dedup, toxicity, warc
 from lexkv.llm.queries import tokenizer_path
@@ -191,3 +192,10 @@ def test_mixing(docs, empty):
     assert mixing.mix_report(empty).count() == mixing.mixed_documents(empty).count() == 0
     least = docs.select("doc_id", "text", "source")
     assert mixing.mixed_documents(least).columns == least.columns and mixing.mixed_documents(least).count() == len(mix)
+
+
+def test_toxicity_sample_is_the_first_by_hash(spark):
+    rows = spark.range(5000).select(F.when(F.col("id") % 5 > 0, F.col("id")).alias("doc_id"))
+    plain = rows.filter("doc_id is not null").orderBy(F.xxhash64("doc_id")).limit(300)
+    got = toxicity.sampled(rows, 300, 5000)
+    assert got.count() == 300 and {r.doc_id for r in got.collect()} == {r.doc_id for r in plain.collect()}
