@@ -6,7 +6,7 @@ of a sequence, 'T' truncate; null: ignored), key, value (set), number (add).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -14,6 +14,8 @@ from lexkv.functions.keys import int_of_text, is_int_text
 from lexkv.operators.table import RangeQuery
 
 BLOCK = 1000
+#: Positions of the log that one task folds of a key at once.
+RANGE = 1 << 20
 
 
 def applied(log: DataFrame, position: list[str] = ["seq"]) -> DataFrame:
@@ -54,29 +56,58 @@ def counter_state(log: DataFrame) -> DataFrame:
     return both.filter("base_op = 'S' or n is not null").select("key", value.alias("value"))
 
 
-def running_adds(log: DataFrame) -> DataFrame:
-    """For each add its result (null where it fails) and status, in log order per key."""
+def _since_barrier(rows: DataFrame, barrier: Column, base: Column, number: Column, width: int) -> DataFrame:
+    """rows with `base` (that of the key's newest barrier up to here, null before any) and `total` (sum of number since it).
+
+    A hot key is cut into ranges of `width` positions: each range is folded by
+    itself, then one summary row a range carries the base and the sum over to
+    the next ranges, so no task orders all rows of a key. Sums are exact decimals.
+    """
+    rows = rows.withColumn("_range", F.floor(F.col("seq") / width)).withColumn("_mark", F.when(barrier, F.struct(base.alias("base"))))
+    rows = rows.withColumn("_number", F.when(~barrier, number).cast("decimal(38,0)"))
+    upto = Window.partitionBy("key", "_range").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_grp", F.count("_mark").over(upto))
+    inside = Window.partitionBy("key", "_range", "_grp").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_here", F.first("_mark").over(inside)).withColumn("_sum", F.coalesce(F.sum("_number").over(inside), F.lit(0).cast("decimal(38,0)")))
+
+    last = F.max_by(F.struct("_here", "_sum"), "seq")
+    ends = rows.groupBy("key", "_range").agg(last.alias("_end")).select("key", "_range", "_end.*")
+    earlier = Window.partitionBy("key").orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
+    ends = ends.withColumn("_part", F.count("_here").over(earlier))
+    # within a part only the first range has a barrier: its tail and all later ranges add up
+    since = Window.partitionBy("key", "_part").orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
+    ends = ends.select("key", "_range", F.first("_here").over(since).alias("_base"), F.sum("_sum").over(since).alias("_all"))
+    place = Window.partitionBy("key").orderBy("_range")
+    carry = ends.select("key", "_range", F.lag("_base").over(place).alias("_base"), F.lag("_all").over(place).alias("_all")).filter("_all is not null")
+
+    out = rows.join(carry, ["key", "_range"], "left")
+    none = F.col("_grp") == 0
+    total = F.col("_sum") + F.when(none, F.coalesce("_all", F.lit(0).cast("decimal(38,0)"))).otherwise(F.lit(0).cast("decimal(38,0)"))
+    return out.withColumn("base", F.when(none, F.col("_base")).otherwise(F.col("_here"))["base"]).withColumn("total", total)
+
+
+def _whole(n: Column) -> Column:
+    """n as int64; null outside of it."""
+    return n.try_cast("long")
+
+
+def running_adds(log: DataFrame, width: int = RANGE) -> DataFrame:
+    """For each add its result (null where it fails or leaves int64) and status, in log order per key."""
     rows = log.filter(F.col("op").isin("S", "D", "A"))
-    w = Window.partitionBy("key").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    barrier = F.col("op") != "A"
-    rows = rows.withColumn("grp", F.sum(barrier.cast("int")).over(w))
-    g = Window.partitionBy("key", "grp").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("base_op", F.first(F.when(barrier, F.col("op")), ignorenulls=True).over(g)).withColumn("base", F.first(F.when(barrier, F.struct("value"))["value"], ignorenulls=True).over(g))
-    start = F.when(F.coalesce(F.col("base_op"), F.lit("D")) == "D", F.lit(0).cast("long")).otherwise(int_of_text(F.col("base")))
-    total = F.try_add(start, F.expr("try_sum(case when op = 'A' then number end)").over(g))
-    out = rows.withColumn("result", total).filter("op = 'A'")
+    start = F.when(F.col("op") == "D", F.lit(0).cast("long")).otherwise(int_of_text(F.col("value")))
+    base = F.struct(start.alias("start"))
+    out = _since_barrier(rows, F.col("op") != "A", base, F.col("number"), width).filter("op = 'A'")
+    start = F.when(F.col("base").isNull(), F.lit(0).cast("long")).otherwise(F.col("base.start"))
+    out = out.withColumn("result", _whole(start.cast("decimal(38,0)") + F.col("total")))
     return out.select("key", "seq", "number", "result", F.when(F.col("result").isNull(), "FAILED").otherwise("OK").alias("status"))
 
 
-def sequence_numbers(log: DataFrame, start: int = 1) -> DataFrame:
+def sequence_numbers(log: DataFrame, start: int = 1, width: int = RANGE) -> DataFrame:
     """Numbers handed out by 'Q' commands: dense per key, from start or from the last set value."""
     rows = log.filter(F.col("op").isin("S", "Q"))
-    w = Window.partitionBy("key").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("grp", F.sum((F.col("op") == "S").cast("int")).over(w))
-    g = Window.partitionBy("key", "grp").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    base = F.coalesce(F.first(F.when(F.col("op") == "S", int_of_text(F.col("value"))), ignorenulls=True).over(g), F.lit(start).cast("long"))
-    nth = F.count(F.when(F.col("op") == "Q", 1)).over(g)
-    return rows.withColumn("result", base + nth - 1).filter("op = 'Q'").select("key", "seq", "result")
+    out = _since_barrier(rows, F.col("op") == "S", int_of_text(F.col("value")), F.lit(1), width).filter("op = 'Q'")
+    first = F.coalesce(F.col("base"), F.lit(start).cast("long"))
+    return out.select("key", "seq", _whole(first.cast("decimal(38,0)") + F.col("total") - 1).alias("result"))
 
 
 def sequence_state(log: DataFrame, start: int = 1, block: int = BLOCK) -> DataFrame:

@@ -74,10 +74,19 @@ def split(shards: DataFrame, shard_id: int, key: str, new_id: int) -> DataFrame:
     return parent.unionByName(child)
 
 
-def to_split(stats: DataFrame, shards: DataFrame, tables: DataFrame, limit: int = SPLIT_BYTES) -> DataFrame:
-    """Shards due for an automatic split: too large, with a midpoint, table not frozen."""
+def to_split(stats: DataFrame, shards: DataFrame, tables: DataFrame, limit: int = SPLIT_BYTES, busy: DataFrame | None = None) -> DataFrame:
+    """Shards due for an automatic split: too large, with a midpoint, table not frozen, not migrating (busy: their shard_id)."""
     frozen = tables.filter("is_frozen").select("table_id")
-    return shards.join(stats, "shard_id").filter(F.col("shard_size") > limit).join(frozen, "table_id", "left_anti").filter("min_key < max_key").select("shard_id", "shard_size")
+    due = shards.join(stats, "shard_id").filter(F.col("shard_size") > limit).join(frozen, "table_id", "left_anti").filter("min_key < max_key")
+    if busy is not None:
+        due = due.join(busy, "shard_id", "left_anti")
+    return due.select("shard_id", "shard_size")
+
+
+def next_split(due: DataFrame, midpoints: DataFrame, shards: DataFrame) -> DataFrame:
+    """The one split to make now, the largest shard first: (shard_id, split_key). A key at which a shard already begins is no split."""
+    keys = due.join(midpoints, "shard_id").join(shards.select(F.col("first_key").alias("split_key")), "split_key", "left_anti")
+    return keys.orderBy(F.desc("shard_size"), "shard_id").limit(1).select("shard_id", "split_key")
 
 
 def tiling_faults(shards: DataFrame) -> DataFrame:

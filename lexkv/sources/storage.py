@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -88,13 +90,30 @@ def order_faults(chunk: DataFrame, group: str) -> DataFrame:
     return chunk.withColumn("before", F.lag("key").over(w)).filter("before >= key").select(group, "place", "before", "key")
 
 
-def retained(log: DataFrame, keep_bytes: int) -> DataFrame:
-    """The newest commands whose total size stays within keep_bytes. Sizes are summed by ranges of 4096 positions first."""
+def retained(log: DataFrame, keep_bytes: int, ranges: int = 100_000) -> DataFrame:
+    """The newest commands whose total size stays within keep_bytes.
+
+    Sizes are summed by ranges of positions first, at most `ranges` of them, and
+    only ranges that can hold the cut or lie behind it are ordered inside.
+    """
     size = F.coalesce(F.octet_length("key"), F.lit(0)) + F.coalesce(F.octet_length("value"), F.lit(0))
-    rows = log.withColumn("_size", size.cast("long")).withColumn("_range", F.floor(F.col("seq") / 4096))
+    span = log.agg(F.greatest(F.lit(4096), F.ceil((F.max("seq") - F.min("seq") + 1) / (ranges - 1))).alias("_width"))
+    rows = log.withColumn("_size", size.cast("long")).join(F.broadcast(span)).withColumn("_range", F.floor(F.col("seq") / F.col("_width")))
     sums = rows.groupBy("_range").agg(F.sum("_size").alias("_sum"))
     newer = Window.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("_range", F.coalesce(F.sum("_sum").over(newer), F.lit(0)).alias("_newer")).filter(F.col("_newer") < keep_bytes)
     inside = Window.partitionBy("_range").orderBy(F.desc("seq"))
-    rows = rows.join(sums, "_range").withColumn("_total", F.col("_newer") + F.sum("_size").over(inside))
+    rows = rows.join(F.broadcast(sums.limit(ranges)), "_range").withColumn("_total", F.col("_newer") + F.sum("_size").over(inside))
     return rows.filter(F.col("_total") <= keep_bytes).select(*log.columns)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder name below the cluster's spark.checkpoint.dir; below the warehouse where that is unset, as in tests."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def compaction_order(chunks: DataFrame, most: int = 10) -> DataFrame:
+    """Shards due for compaction, largest first, from rows (shard_id, chunk, bytes, was_split)."""
+    due = chunks.groupBy("shard_id").agg(F.count("*").alias("n_chunks"), F.sum("bytes").alias("bytes"), F.coalesce(F.bool_or("was_split"), F.lit(False)).alias("was_split"))
+    return due.filter(F.col("was_split") | (F.col("n_chunks") > most)).orderBy(F.desc("bytes"), "shard_id")

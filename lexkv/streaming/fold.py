@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lexkv.operators import log as log_ops
 
+#: Micro-batches between merges of the state.
+COMPACT = 10
 LOG = "seq long, op string, key string, value string, number long"
 
 
@@ -14,26 +16,33 @@ def read_log_stream(spark: SparkSession, path: str, schema: str = LOG, files: in
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
-def fold_stream(log: DataFrame, root: str, checkpoint: str):
-    """Keep the last write of each key, tombstones included, as versions below root.
+def fold_stream(log: DataFrame, root: str, checkpoint: str, every: int = COMPACT):
+    """Keep the last write of each key, tombstones included, below root.
 
-    Each micro-batch folds the newest version with its rows and writes the next
-    version; a batch that runs again overwrites its own version, so each command
-    counts once. Returns the query's starter.
+    Each micro-batch writes the fold of its own rows as a chunk; every so many
+    batches the chunks since the last base are merged with it into a new base.
+    So a batch costs what it brings, not what the state holds. A batch that runs
+    again overwrites its own files, so each command counts once. Returns the
+    query's starter.
     """
 
     def step(batch: DataFrame, epoch: int) -> None:
-        now = log_ops.last_writes(batch.filter("op is not null"))
-        if epoch:
-            now = log_ops.last_writes(now.unionByName(batch.sparkSession.read.parquet(f"{root}/version={epoch - 1}").select(*now.columns)))
-        now.write.mode("overwrite").parquet(f"{root}/version={epoch}")
+        log_ops.last_writes(batch.filter("op is not null")).write.mode("overwrite").parquet(f"{root}/chunk={epoch}")
+        if epoch and epoch % every == 0:
+            log_ops.last_writes(_chunks(batch.sparkSession, root, epoch, epoch - every)).write.mode("overwrite").parquet(f"{root}/base={epoch}")
 
     return log.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
 
 
-def folded(spark: SparkSession, root: str, version: int) -> DataFrame:
-    """Live (key, value) of a version that fold_stream wrote."""
-    return spark.read.parquet(f"{root}/version={version}").filter("op = 'S'").select("key", "value")
+def _chunks(spark: SparkSession, root: str, version: int, base: int) -> DataFrame:
+    """The base at an epoch (0: none, chunk 0 stands for it) and all chunks behind it up to a version."""
+    paths = [f"{root}/base={base}" if base else f"{root}/chunk=0", *[f"{root}/chunk={e}" for e in range(base + 1, version + 1)]]
+    return spark.read.parquet(*paths)
+
+
+def folded(spark: SparkSession, root: str, version: int, every: int = COMPACT) -> DataFrame:
+    """Live (key, value) at a version (micro-batch) that fold_stream wrote with the same `every`."""
+    return log_ops.state(_chunks(spark, root, version, version - version % every))
 
 
 def change_feed(versions: DataFrame, seen: int) -> DataFrame:
