@@ -380,3 +380,66 @@ def catalog_tables(spark, d):
     c = Catalog.empty(spark).register_server("a:1").create_quorum("q", [1]).create_database("db").create_table(1, 1, "orders").create_table(1, 1, "parts")
     c = c.split_shard(1, k(400)).split_shard(1, k(200))
     return c["tables"].join(c["shards"].groupBy("table_id").agg(F.count("*").alias("n_shards")), "table_id").select("name", "n_shards")
+
+
+@query(f"SELECT key, value FROM {LAST} WHERE op = 'S'", "event_log")
+def stream_fold(spark, d):
+    """The last-writer-wins state, kept by a stream over the events that runs until it has read them all."""
+    from lexkv.sources.storage import scratch
+    from lexkv.streaming import fold
+
+    root, schema = scratch(spark, "stream-fold"), V.read(spark, d, "events").schema
+    rows = V.commands(spark.readStream.schema(schema).parquet(f"{d}/events.parquet*"))  # a pattern, as the table may be one file
+    run = fold.fold_stream(rows, f"{root}/state", f"{root}/checkpoint").trigger(availableNow=True).start()
+    run.awaitTermination()
+    done = [p["batchId"] for p in run.recentProgress if p["numInputRows"]]
+    return fold.folded(spark, f"{root}/state", max(done)) if done else log.state(V.event_log(spark, d))
+
+
+@query("SELECT seq, op, key, value FROM (SELECT *, sum(size) OVER (ORDER BY seq DESC) AS total FROM (SELECT *, coalesce(strlen(key), 0) + coalesce(strlen(value), 0) AS size FROM event_log)) WHERE total <= 100000", "event_log")
+def log_retained(spark, d):
+    from lexkv.sources.storage import retained
+
+    return retained(V.event_log(spark, d), 100_000).select("seq", "op", "key", "value")
+
+
+ENDED = "(SELECT txn_id, arg_min(op, seq) AS \"end\", min(seq) AS apply_seq FROM marked WHERE op IN ('COMMIT', 'ROLLBACK') GROUP BY txn_id)"
+MARKED = "marked AS (SELECT seq, CASE WHEN op = 'D' THEN 'ROLLBACK' WHEN number > 90 THEN 'COMMIT' ELSE op END AS op, seq // 30 AS txn_id FROM event_log)"
+
+
+@query(f", {MARKED} SELECT m.txn_id, m.seq, m.op, e.\"end\" FROM marked m JOIN {ENDED} e ON e.txn_id = m.txn_id WHERE m.seq > e.apply_seq", "event_log")
+def txn_rejected(spark, d):
+    op = F.when(F.col("op") == "D", "ROLLBACK").when(F.col("number") > 90, "COMMIT").otherwise(F.col("op"))
+    return transactions.rejected(V.event_log(spark, d).select("seq", op.alias("op"), F.floor(F.col("seq") / 30).alias("txn_id")))
+
+
+@query(f"SELECT shard_id, sum(strlen(key) + strlen(value))::BIGINT AS shard_size FROM {ROUTED} WHERE shard_id <> 4 GROUP BY shard_id HAVING sum(strlen(key) + strlen(value)) > 20000 AND min(key) < max(key)", "orders_kv")
+def shard_split_policy(spark, d):
+    tables = spark.createDataFrame([(1, False)], "table_id long, is_frozen boolean")
+    busy = spark.createDataFrame([(4,)], "shard_id long")
+    return shards.to_split(shards.stats(routed(spark, d)), shard_frame(spark), tables, 20_000, busy)
+
+
+@query(f"SELECT shard_id, key AS split_key FROM (SELECT *, row_number() OVER (PARTITION BY shard_id ORDER BY key) - 1 AS p, count(*) OVER (PARTITION BY shard_id) AS n, sum(strlen(key) + strlen(value)) OVER (PARTITION BY shard_id) AS size FROM {ROUTED}) WHERE p = n // 2 AND n > 1 ORDER BY size DESC, shard_id LIMIT 1", "orders_kv")
+def shard_next_split(spark, d):
+    tables = spark.createDataFrame([(1, False)], "table_id long, is_frozen boolean")
+    rows, frame = routed(spark, d), shard_frame(spark)
+    return shards.next_split(shards.to_split(shards.stats(rows), frame, tables, 0), shards.midpoints(rows), frame)
+
+
+@query("SELECT coalesce(c.key, a.key) AS key, coalesce(c.value, a.value) AS value FROM customer_kv c FULL JOIN (SELECT DISTINCT key, 'new' AS value FROM " + ASKED + ") a ON a.key = c.key", "customer_kv")
+def insert_misses(spark, d):
+    return indexes.inserted_misses(V.customer_kv(spark, d), asked(spark, d).withColumn("value", F.lit("new")))
+
+
+@query("SELECT a.key, CASE WHEN done THEN 'new' ELSE o.value END AS value, done FROM (SELECT a.key, CASE WHEN right(a.key, 1) = '4' THEN o.key IS NULL ELSE coalesce(o.value = 'F', false) END AS done FROM " + ASKED + " a LEFT JOIN orders_kv o ON o.key = a.key) a LEFT JOIN orders_kv o ON o.key = a.key", "orders_kv")
+def conditional_writes(spark, d):
+    asks = asked(spark, d).select("key", F.when(F.substring("key", -1, 1) != "4", "F").alias("expected"), F.lit("new").alias("value"))
+    return log.conditional_writes(V.orders_kv(spark, d), asks)
+
+
+@query("SELECT p_partkey, instr(p_name, 'a') AS place, regexp_full_match(p_name, '[ -\x7f]*') AS printable, hex(p_name) AS hexed, left(p_name, 3) AS head, lpad(CAST(CAST(p_partkey AS HUGEINT) + 9223372036854775808 AS VARCHAR), 20, '0') AS signed_key, CAST(p_partkey AS VARCHAR) AS part FROM part")
+def scalar_functions(spark, d):
+    c = F.col
+    return V.read(spark, d, "part").select("p_partkey", K.byte_find(c("p_name"), "a").cast("long").alias("place"), K.is_printable(c("p_name")).alias("printable"), F.hex("p_name").alias("hexed"), F.substring("p_name", 1, 3).alias("head"),
+                                           K.encode_signed(c("p_partkey")).alias("signed_key"), K.composite_part(K.composite(c("p_name"), c("p_partkey").cast("string")), 1).alias("part"))

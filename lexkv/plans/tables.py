@@ -34,8 +34,12 @@ def docs_kv(spark, d) -> DataFrame:
 
 
 def event_log(spark, d) -> DataFrame:
-    """signup and view set, click and purchase add, error deletes."""
-    e, kind = read(spark, d, "events"), F.col("event_type")
+    return commands(read(spark, d, "events"))
+
+
+def commands(e: DataFrame) -> DataFrame:
+    """Events, a table or a stream, as log commands: signup and view set, click and purchase add, error deletes."""
+    kind = F.col("event_type")
     op = F.when(kind.isin("signup", "view"), "S").when(kind.isin("click", "purchase"), "A").otherwise("D")
     number = F.floor("value").cast("long")
     return e.select(F.col("event_id").alias("seq"), op.alias("op"), K.encode_int(F.col("user_id")).alias("key"), F.when(kind == "signup", F.lit("new")).when(kind == "view", number.cast("string")).alias("value"),
