@@ -52,6 +52,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def pinned(df: DataFrame) -> DataFrame:
+    """df whose file splits are planned here, once: later passes have the same rows in the same tasks, whatever cores are live by then."""
+    spark = df.sparkSession
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(df._jdf.queryExecution().toRdd(), df._jdf.schema(), False), spark)
+
+
 def arrow_map(df: DataFrame, fn: Callable, schema: str, rows: int = BATCH_ROWS) -> DataFrame:
     """mapInArrow with short batches. fn takes an iterator of record batches."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

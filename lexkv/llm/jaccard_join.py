@@ -129,9 +129,9 @@ def exact_jaccard(threshold: float):
     return linked
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """Rows with `rid`, the row's place in the scan: tells repeated rows apart. docs must be a file scan."""
-    return docs.withColumn("rid", F.monotonically_increasing_id())
+def numbered(docs: DataFrame, rid: str = "rid") -> DataFrame:
+    """Rows with a number that tells repeated rows apart. They are written once: a number made in each scan changes with its splits."""
+    return materialize(docs.withColumn(rid, F.monotonically_increasing_id()), "jaccard-rows")
 
 
 def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
@@ -146,7 +146,11 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
     A pair at the threshold is missed with probability under 1e-6 by the bands
     ((1 - 0.8^4)^32) and by pruning (the tolerance).
     """
-    rows = numbered(docs.select("doc_id", "text"))
+    return _joined(numbered(docs.select("doc_id", "text")), threshold, tolerance)
+
+
+def _joined(rows: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+    """jaccard_join of rows (rid, doc_id, text), whose rid is a written column."""
     sk = materialize(arrow_map(rows, _sketch, "rid long, doc_id long, cid long, n long, sig binary"), "jaccard-sketch")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "rid")).alias("least")
     classes = materialize(sk.filter("cid is not null").groupBy("cid").agg(F.count("*").alias("copies"), least, F.max("sig").alias("sig")), "jaccard-classes")
@@ -168,6 +172,6 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
 def deduplicated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs with one row of each near-duplicate component; rows without words stay. All columns are kept."""
     rid = "_rid" + "_" * max(map(len, docs.columns))  # a name that no column has
-    keep = jaccard_join(docs, threshold).filter("kept").select(F.col("rid").alias(rid))
-    rows = docs.withColumn(rid, F.monotonically_increasing_id())
+    rows = numbered(docs, rid)
+    keep = _joined(rows.select(F.col(rid).alias("rid"), "doc_id", "text"), threshold, TOLERANCE).filter("kept").select(F.col("rid").alias(rid))
     return rows.join(keep, rid, "left_semi").drop(rid)

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexkv.llm.common import U64, arrow_map, batch, binaries, each_group, longs, mix, put_file, shared_path, split_by_shard, strings, to_shards
+from lexkv.llm.common import U64, arrow_map, batch, binaries, each_group, longs, mix, pinned, put_file, shared_path, split_by_shard, strings, to_shards
 
 LENGTH = 200
 GRAM = 64
@@ -282,6 +282,7 @@ def removed(docs: DataFrame, length: int = LENGTH, shards: int | None = None, te
     if shards is None:
         size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         shards = 1 << max(4, min(16, (size // SHARD_BYTES).bit_length()))
+    rows = pinned(rows)  # blocks are numbered by task: all passes need the same splits
 
     def sampled(batches):
         for key, _, block in blocks(batches, length):

@@ -199,3 +199,35 @@ def test_toxicity_sample_is_the_first_by_hash(spark):
     plain = rows.filter("doc_id is not null").orderBy(F.xxhash64("doc_id")).limit(300)
     got = toxicity.sampled(rows, 300, 5000)
     assert got.count() == 300 and {r.doc_id for r in got.collect()} == {r.doc_id for r in plain.collect()}
+
+
+@pytest.fixture
+def resplit(spark, tmp_path):
+    """A table of eight files, and a call after which a new scan of it has one split instead of eight."""
+    texts = [" ".join(f"t{k // 2} w{j}" for j in range(60)) for k in range(80)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows.repartition(8, "doc_id").write.parquet(f"{tmp_path}/docs")
+    yield spark.read.parquet(f"{tmp_path}/docs"), lambda: spark.conf.set("spark.sql.files.minPartitionNum", "1")
+    spark.conf.unset("spark.sql.files.minPartitionNum")
+
+
+def test_jaccard_does_not_depend_on_splits(resplit):
+    docs, change = resplit
+    out = jaccard_join.deduplicated(docs)
+    change()
+    assert sorted(r.doc_id for r in out.collect()) == list(range(0, 80, 2))
+
+
+def test_jaccard_texts_do_not_depend_on_splits(resplit, monkeypatch):
+    docs, change = resplit
+    components = jaccard_join.lsh.components
+    edited = docs.withColumn("text", F.when(F.col("doc_id") % 2 == 1, F.concat("text", F.lit(" end"))).otherwise(F.col("text")))
+    monkeypatch.setattr(jaccard_join.lsh, "components", lambda *a: (change(), components(*a))[1])
+    assert [(r.n_links, r.class_id) for r in jaccard_join.jaccard_join(edited).orderBy("doc_id").collect()] == [(1, k - k % 2) for k in range(80)]
+
+
+def test_suffixes_do_not_depend_on_splits(resplit):
+    docs, change = resplit
+    out = suffix_dedup.removed(docs)
+    change()
+    assert all(r.n_removed == r.n_bytes for r in out.collect())
