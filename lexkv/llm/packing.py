@@ -54,12 +54,30 @@ class WordTokens(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-
-    def learn(self, words: set[bytes]) -> None:
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(not t.special or t.normalized or t.single_word or t.lstrip or t.rstrip for t in added.values()):
+            raise ValueError("added tokens must be special ones that stand for themselves in the raw text")
+        #: Special tokens as text -> id; as keys they are str, so no lowered part is taken for one.
+        self.special = {t.content: np.array([k], dtype="<u4").tobytes() for k, t in added.items()}
+        self.between = re.compile(f"({'|'.join(map(re.escape, sorted(self.special, key=len, reverse=True)))})")
+        self.tokenizer.encode_special_tokens = True  # words() takes special tokens out; what looks like one by now is plain text
+        self.update(self.special)
+
+    def words(self, text: str | None) -> list[bytes | str]:
+        """words_of a text, with the special tokens in it, which the tokenizer finds before it lowers letters."""
+        if not text or not any(x in text for x in self.special):
+            return words_of(text)
+        out = []
+        for k, part in enumerate(self.between.split(text)):
+            out += [part] if k % 2 else words_of(part)
+        return out
+
+    def learn(self, words: set[bytes | str]) -> None:
         new = list(words.difference(self))
         if len(self) + len(new) > WORDS_KEPT:
             self.clear()
-            new = list(words)
+            self.update(self.special)
+            new = list(words.difference(self))
         for lo in range(0, len(new), 4096):
             part = new[lo : lo + 4096]
             texts = [w.decode("utf-8", "replace") for w in part]
@@ -71,7 +89,7 @@ class WordTokens(dict):
             cut = (4 * np.searchsorted(at, begin)).tolist()
             self.update(zip(part, [ids[x:y] for x, y in zip(cut, cut[1:], strict=False)], strict=True))
 
-    def ids(self, words: list[bytes]) -> bytes:
+    def ids(self, words: list[bytes | str]) -> bytes:
         return b"".join(map(self.__getitem__, words))
 
 
@@ -204,7 +222,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
         packer = Packer(window, TaskContext.get().partitionId() << 32)
         end = np.array([end_id], dtype="<u4").tobytes()
         for b in batches:
-            texts = [words_of(x.as_py()) for x in b["text"]]
+            texts = [tokens.words(x.as_py()) for x in b["text"]]
             tokens.learn(set().union(*texts))
             for doc, words in zip(b["doc_id"].to_pylist(), texts, strict=True):
                 packer.add(doc, tokens.ids(words) + end)

@@ -231,3 +231,24 @@ def test_suffixes_do_not_depend_on_splits(resplit):
     out = suffix_dedup.removed(docs)
     change()
     assert all(r.n_removed == r.n_bytes for r in out.collect())
+
+
+def test_special_tokens_are_found_in_raw_texts(spark, monkeypatch):
+    from tokenizers import Tokenizer
+
+    t, tokens, r = Tokenizer.from_file(tokenizer_path()), packing.WordTokens(tokenizer_path()), np.random.RandomState(6)
+    special = ["<|startoftext|>", "<|endoftext|>"]
+    parts = [*special, *special, *map(str.upper, special), "<|EndOfText|>", "<|endofte\u212at|>", "<|endoftext", "|>", "<|", "<", "'", "'s", "a", "Z", "9", " ", "\n", ".", ",", "é", "\u0301", "\u0130", "中"]
+    texts = ["one two <|endoftext|> three", "<|ENDOFTEXT|>y", *("".join(parts[k] for k in r.randint(0, len(parts), r.randint(1, 12))) for _ in range(4000))]
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    for text, ids in zip(texts, want, strict=True):
+        words = tokens.words(text)
+        tokens.learn(set(words))
+        assert np.frombuffer(tokens.ids(words), dtype="<u4").tolist() == ids, repr(text)
+    monkeypatch.setattr(packing, "WORDS_KEPT", 1)
+    tokens.learn(set(tokens.words(texts[0])) | {b"never seen before"})
+    assert len(tokens) == 6 and tokens.ids(tokens.words(texts[0])) == np.array(want[0], dtype="<u4").tobytes()
+    got = packing.pack(spark.createDataFrame(list(enumerate(texts[:200])), "doc_id long, text string"), tokenizer_path()).collect()
+    assert {x.doc_id: x.doc_tokens for x in got} == {k: len(ids) + 1 for k, ids in enumerate(want[:200])}
+    whole = [x for x in got if x.length == x.doc_tokens]
+    assert len(whole) > 100 and all(x.ids_crc32 == zlib.crc32(np.array([*want[x.doc_id], 1], dtype="<u4").tobytes()) for x in whole)
