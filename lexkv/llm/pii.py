@@ -33,6 +33,7 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+IBAN_START = re.compile(r"(?<![A-Za-z0-9])(?=[A-Z]{2}[0-9]{2})")
 SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 NOT_DIGIT = re.compile(r"[^0-9]")
 _DOUBLED = (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)
@@ -80,8 +81,23 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def ibans(text: str) -> list[tuple[int, int]]:
+    """From each start the longest match that mod-97 confirms: words behind an IBAN may look like a part of it."""
+    out, last = [], 0
+    for start in IBAN_START.finditer(text):
+        at = start.start()
+        m = IBAN.match(text, at) if at >= last else None
+        while m and not mod97(m[0]):
+            # the same match without its last word
+            m = IBAN.fullmatch(text, at, at + m[0].rfind(" ")) if " " in m[0] else None
+        if m:
+            out.append((at, m.end()))
+            last = m.end()
+    return out
+
+
 def added_spans(text: str) -> list[tuple[int, int, int]]:
-    out = [(m.start(), 4, m.end()) for m in IBAN.finditer(text) if mod97(m[0])]
+    out = [(a, 4, b) for a, b in ibans(text)]
     return out + [(m.start(), 5, m.end()) for m in SSN.finditer(text)] if "-" in text else out
 
 

@@ -252,3 +252,19 @@ def test_special_tokens_are_found_in_raw_texts(spark, monkeypatch):
     assert {x.doc_id: x.doc_tokens for x in got} == {k: len(ids) + 1 for k, ids in enumerate(want[:200])}
     whole = [x for x in got if x.length == x.doc_tokens]
     assert len(whole) > 100 and all(x.ids_crc32 == zlib.crc32(np.array([*want[x.doc_id], 1], dtype="<u4").tobytes()) for x in whole)
+
+
+@pytest.mark.parametrize("iban", ["ES9121000418450200051332", "ES91 2100 0418 4502 0005 1332", "AT611904300234573201", "DE89 3704 0044 0532 0130 00", "NL91ABNA0417164300"])
+@pytest.mark.parametrize("before", ["", "x ", "AB12 3456 7890 "])
+@pytest.mark.parametrize("after", ["", " today", " EUR 50", " IBAN", " 2024", " EUROS 7 A", " IBAN BANK 12", ", BIC", " 4444 333 22 1"])
+def test_ibans_before_capitals_and_digits(iban, before, after):
+    at = len(before)
+    assert pii.added_spans(before + iban + after) == [(at, 4, at + len(iban))]
+    assert pii.masked_text(before + iban + after) == f"{before}[IBAN]{after}"
+
+
+def test_wrong_ibans_and_long_runs():
+    assert pii.added_spans("ES9221000418450200051332 EUR 50 xES9121000418450200051332") == []
+    two = "ES9121000418450200051332 AT611904300234573201"
+    assert pii.added_spans(two) == [(0, 4, 24), (25, 4, len(two))]
+    pii.added_spans("AB12 " * 20_000 + "A" * 50_000)
