@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 SPLIT_BYTES = 500_000_000
-#: Shards that an array in the plan may hold; beyond it routing is a sorted join.
+#: Shards that an array in the plan may hold; beyond it routing is a join by bands of keys.
 ARRAY_SHARDS = 10_000
 
 
@@ -28,9 +30,25 @@ def route(kv: DataFrame, bounds: list[tuple[str, int]]) -> DataFrame:
 
 
 def route_join(kv: DataFrame, shards: DataFrame) -> DataFrame:
-    """The same as a range join, for catalogs of few shards that are not known while planning."""
+    """The same as a range join, for catalogs that are not known while planning or too large for an array.
+
+    Up to ARRAY_SHARDS shards are broadcast. Beyond, the key space is cut into
+    bands at about every sqrt(n)-th first_key, picked by hash; keys meet the
+    shards that reach into their band.
+    """
     s = shards.select("shard_id", "first_key", "last_key")
-    return kv.join(F.broadcast(s.limit(ARRAY_SHARDS)), contains(F.col("key"), F.col("first_key"), F.col("last_key"))).drop("first_key", "last_key")
+    inside = contains(F.col("key"), F.col("first_key"), F.col("last_key"))
+    if s.limit(ARRAY_SHARDS + 1).count() <= ARRAY_SHARDS:
+        return kv.join(F.broadcast(s), inside).drop("first_key", "last_key")
+    picked = F.pmod(F.xxhash64("first_key"), F.lit(isqrt(s.count()))) == 0
+    cuts = F.array(F.lit(""), *[F.lit(r.first_key) for r in s.filter(picked).select("first_key").distinct().collect()])
+
+    def band(key: Column) -> Column:
+        return F.size(F.filter(cuts, lambda c: c <= key))
+
+    last = F.when(F.col("last_key") == "", F.size(cuts)).otherwise(band(F.col("last_key")))
+    s = s.withColumn("_shard_band", F.explode(F.sequence(band(F.col("first_key")), last)))
+    return kv.withColumn("_band", band(F.col("key"))).join(s, (F.col("_band") == F.col("_shard_band")) & inside).drop("_band", "_shard_band", "first_key", "last_key")
 
 
 def bounds_of(shards: DataFrame) -> list[tuple[str, int]]:

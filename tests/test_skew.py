@@ -145,3 +145,13 @@ def test_retention_and_policies(spark):
     due = spark.createDataFrame([(1, 10), (2, 20)], "shard_id long, shard_size long")
     mid = spark.createDataFrame([(1, "c"), (2, "m")], "shard_id long, split_key string")
     assert tuple(shards.next_split(due, mid, frame).first()) == (1, "c")
+
+
+def test_route_join_keeps_all_shards_of_a_large_catalog(spark):
+    n = shards.ARRAY_SHARDS + 2500
+    firsts = [""] + [f"{10 * k:07d}" for k in range(1, n)]
+    catalog = spark.createDataFrame(list(zip(range(n), firsts, [*firsts[1:], ""])), "shard_id long, first_key string, last_key string")
+    keys = spark.range(0, 10 * n + 50, 3).select(F.format_string("%07d", "id").alias("key"), F.least(F.floor(F.col("id") / 10), F.lit(n - 1)).alias("want"))
+    got = shards.route_join(keys, catalog)
+    assert got.columns == ["key", "want", "shard_id"]
+    assert got.count() == keys.count() and got.filter("shard_id <> want").count() == 0
