@@ -103,19 +103,49 @@ def running_adds(log: DataFrame, width: int = RANGE) -> DataFrame:
 
 
 def sequence_numbers(log: DataFrame, start: int = 1, width: int = RANGE) -> DataFrame:
-    """Numbers handed out by 'Q' commands: dense per key, from start or from the last set value."""
-    rows = log.filter(F.col("op").isin("S", "Q"))
-    out = _since_barrier(rows, F.col("op") == "S", int_of_text(F.col("value")), F.lit(1), width).filter("op = 'Q'")
-    first = F.coalesce(F.col("base"), F.lit(start).cast("long"))
+    """Numbers handed out by 'Q' commands: dense per key, from the last set value, or from start if there is none or it was deleted.
+
+    A set value that is no number fails all commands behind it: their result is null.
+    """
+    rows = log.filter(F.col("op").isin("S", "D", "Q"))
+    first = F.when(F.col("op") == "D", F.lit(start).cast("long")).otherwise(int_of_text(F.col("value")))
+    out = _since_barrier(rows, F.col("op") != "Q", F.struct(first.alias("first")), F.lit(1), width).filter("op = 'Q'")
+    first = F.when(F.col("base").isNull(), F.lit(start).cast("long")).otherwise(F.col("base.first"))
     return out.select("key", "seq", _whole(first.cast("decimal(38,0)") + F.col("total") - 1).alias("result"))
 
 
 def sequence_state(log: DataFrame, start: int = 1, block: int = BLOCK) -> DataFrame:
-    """Stored next value of each sequence: numbers are taken from the table in blocks."""
-    last = log.filter("op = 'S'").groupBy("key").agg(F.max_by("value", "seq").alias("base"), F.max("seq").alias("base_seq"))
-    asks = log.filter("op = 'Q'").join(last, "key", "left").filter("base_seq is null or seq > base_seq").groupBy("key").agg(F.count("*").alias("n"), F.max("base").alias("base"))
-    base = F.coalesce(int_of_text(F.col("base")), F.lit(start).cast("long"))
-    return asks.select("key", (base + block * F.ceil(F.col("n") / block)).cast("string").alias("value"))
+    """Stored next value of each sequence: numbers are taken from the table in blocks. A base that is no number stays."""
+    last = last_writes(log).select("key", F.col("op").alias("base_op"), F.col("value").alias("base"), F.col("seq").alias("base_seq"))
+    asks = log.filter("op = 'Q'").join(last, "key", "left").filter("base_seq is null or seq > base_seq")
+    asks = asks.groupBy("key").agg(F.count("*").alias("n"), F.max("base_op").alias("base_op"), F.max("base").alias("base"))
+    was_set = F.coalesce(F.col("base_op") == "S", F.lit(False))
+    first = F.when(was_set, int_of_text(F.col("base"))).otherwise(F.lit(start).cast("long"))
+    value = F.when(was_set & first.isNull(), F.col("base")).otherwise((first + block * F.ceil(F.col("n") / block)).cast("string"))
+    return asks.select("key", value.alias("value"))
+
+
+def carried(log: DataFrame) -> DataFrame:
+    """What counter_state(after_truncate(log)) needs, as rows of a log again: carried rows of parts of a log, put together, are carried in turn.
+
+    The last truncate; each key's newest set or delete behind it; one add a key
+    for all adds behind that, with the positions of the first and the last. Parts
+    may come in any order, but a set, delete or truncate between two adds that
+    an earlier part has summed cannot be applied any more: that raises an error.
+    """
+    number = F.col("number") if "number" in log.columns else F.lit(None)
+    first = F.col("first") if "first" in log.columns else F.col("seq")
+    rows = log.select("seq", "op", "key", "value", number.cast("decimal(38,0)").alias("number"), first.alias("first"))
+    cut = rows.filter("op = 'T'").agg(F.max("seq").alias("_cut"))
+    rows = rows.join(F.broadcast(cut)).filter("op <> 'T' and (_cut is null or seq > _cut)")
+    writes = last_writes(rows)
+    bases = writes.select("key", F.col("seq").alias("base_seq"))
+    adds = rows.filter("op = 'A'").join(bases, "key", "left").filter("base_seq is null or seq > base_seq")
+    late = F.coalesce(F.col("first") <= F.greatest("base_seq", "_cut"), F.lit(False))
+    number = F.when(late, F.raise_error(F.lit("a command came after later adds had been summed"))).otherwise(F.col("number"))
+    adds = adds.groupBy("key").agg(F.max("seq").alias("seq"), F.sum(number).cast("decimal(38,0)").alias("number"), F.min("first").alias("first"))
+    kept = adds.withColumn("op", F.lit("A")).unionByName(writes, allowMissingColumns=True)
+    return kept.unionByName(cut.filter("_cut is not null").select(F.col("_cut").alias("seq"), F.lit("T").alias("op")), allowMissingColumns=True)
 
 
 def pending_writes(pending: DataFrame) -> DataFrame:

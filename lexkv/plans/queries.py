@@ -384,12 +384,12 @@ def catalog_tables(spark, d):
 
 @query(f"SELECT key, value FROM {LAST} WHERE op = 'S'", "event_log")
 def stream_fold(spark, d):
-    """The last-writer-wins state, kept by a stream over the events that runs until it has read them all."""
+    """The last-writer-wins state of sets and deletes, kept by a stream over the events that runs until it has read them all."""
     from lexkv.sources.storage import scratch
     from lexkv.streaming import fold
 
     root, schema = scratch(spark, "stream-fold"), V.read(spark, d, "events").schema
-    rows = V.commands(spark.readStream.schema(schema).parquet(f"{d}/events.parquet*"))  # a pattern, as the table may be one file
+    rows = V.commands(spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")).filter("op <> 'A'")  # a pattern, as the table may be one file
     run = fold.fold_stream(rows, f"{root}/state", f"{root}/checkpoint").trigger(availableNow=True).start()
     run.awaitTermination()
     done = [p["batchId"] for p in run.recentProgress if p["numInputRows"]]

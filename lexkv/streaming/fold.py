@@ -17,7 +17,7 @@ def read_log_stream(spark: SparkSession, path: str, schema: str = LOG, files: in
 
 
 def fold_stream(log: DataFrame, root: str, checkpoint: str, every: int = COMPACT):
-    """Keep the last write of each key, tombstones included, below root.
+    """Keep the state of a log of sets, deletes, adds and truncates below root, tombstones included; sequence commands are ignored.
 
     Each micro-batch writes the fold of its own rows as a chunk; every so many
     batches the chunks since the last base are merged with it into a new base.
@@ -27,9 +27,9 @@ def fold_stream(log: DataFrame, root: str, checkpoint: str, every: int = COMPACT
     """
 
     def step(batch: DataFrame, epoch: int) -> None:
-        log_ops.last_writes(batch.filter("op is not null")).write.mode("overwrite").parquet(f"{root}/chunk={epoch}")
+        log_ops.carried(batch.filter("op is not null")).write.mode("overwrite").parquet(f"{root}/chunk={epoch}")
         if epoch and epoch % every == 0:
-            log_ops.last_writes(_chunks(batch.sparkSession, root, epoch, epoch - every)).write.mode("overwrite").parquet(f"{root}/base={epoch}")
+            log_ops.carried(_chunks(batch.sparkSession, root, epoch, epoch - every)).write.mode("overwrite").parquet(f"{root}/base={epoch}")
 
     return log.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
 
@@ -42,7 +42,8 @@ def _chunks(spark: SparkSession, root: str, version: int, base: int) -> DataFram
 
 def folded(spark: SparkSession, root: str, version: int, every: int = COMPACT) -> DataFrame:
     """Live (key, value) at a version (micro-batch) that fold_stream wrote with the same `every`."""
-    return log_ops.state(_chunks(spark, root, version, version - version % every))
+    rows = log_ops.carried(_chunks(spark, root, version, version - version % every))
+    return log_ops.counter_state(log_ops.after_truncate(rows.withColumn("number", F.col("number").try_cast("long"))))
 
 
 def change_feed(versions: DataFrame, seen: int) -> DataFrame:

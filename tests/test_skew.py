@@ -155,3 +155,29 @@ def test_route_join_keeps_all_shards_of_a_large_catalog(spark):
     got = shards.route_join(keys, catalog)
     assert got.columns == ["key", "want", "shard_id"]
     assert got.count() == keys.count() and got.filter("shard_id <> want").count() == 0
+
+
+def test_stream_folds_all_commands(spark, tmp_path):
+    r, rows = random.Random(11), []
+    for seq in range(600):
+        op = "T" if seq in (130, 371) else r.choice("SDAAAAAA")
+        key = None if op == "T" else r.choice(["adds", "hot", f"k{r.randrange(30)}"])
+        rows.append((seq, "A" if key == "adds" else op, key, r.choice(["5", "x", "", "-7"]) if op == "S" and key != "adds" else None, r.randrange(-9, 9) if op == "A" or key == "adds" else None))
+    log = spark.createDataFrame(rows, fold.LOG)
+    for n in range(6):
+        log.filter(F.floor(F.col("seq") / 100) == n).coalesce(1).write.mode("append").parquet(f"{tmp_path}/log")
+    q = fold.fold_stream(fold.read_log_stream(spark, f"{tmp_path}/log"), f"{tmp_path}/state", f"{tmp_path}/cp", every=2).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    for version in range(6):
+        want = L.counter_state(L.after_truncate(log.filter(F.col("seq") < 100 * (version + 1))))
+        if version > 3 or version % 2:
+            got = fold.folded(spark, f"{tmp_path}/state", version, every=2)
+            assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 5
+
+
+def test_sequences_after_deletes_and_texts(spark):
+    rows = [(1, "S", "s", "50"), (2, "D", "s", None), (3, "Q", "s", None), (4, "Q", "s", None), (5, "S", "t", "x"), (6, "Q", "t", None), (7, "S", "t", "9"), (8, "Q", "t", None), (9, "S", "u", "x"), (10, "Q", "u", None), (11, "Q", "v", None), (12, "D", "v", None)]
+    log = spark.createDataFrame(rows, "seq long, op string, key string, value string")
+    for width in (1, 3, L.RANGE):
+        assert {x.seq: x.result for x in L.sequence_numbers(log, width=width).collect()} == {3: 1, 4: 2, 6: None, 8: 9, 10: None, 11: 1}
+    assert {x.key: x.value for x in L.sequence_state(log).collect()} == {"s": "1001", "t": "1009", "u": "x"}
