@@ -49,7 +49,13 @@ def inserted_misses(kv: DataFrame, asked: DataFrame) -> DataFrame:
     return kv.unionByName(asked.join(kv, "key", "left_anti").select(*kv.columns))
 
 
-def fan_out(events: DataFrame, followers: DataFrame) -> DataFrame:
-    """Each event (key, value) once for every id in its key's list: followers (key, ids array)."""
-    f = followers.select("key", F.explode("ids").alias("follower"))
-    return events.join(f, "key").select("follower", "key", "value")
+def fan_out(events: DataFrame, followers: DataFrame, size: int = 100_000) -> DataFrame:
+    """Each event (key, value) once for every follower of its key: followers are distinct rows (key, follower).
+
+    A key of over `size` followers is dealt out by a hash of the follower, so no task holds all of them.
+    """
+    hot = followers.groupBy("key").agg(F.ceil(F.count("*") / size).cast("int").alias("_n")).filter("_n > 1")
+    n = F.coalesce("_n", F.lit(1))
+    f = followers.join(F.broadcast(hot), "key", "left").withColumn("_slice", F.pmod(F.xxhash64("follower"), n).cast("int")).drop("_n")
+    e = events.join(F.broadcast(hot), "key", "left").withColumn("_slice", F.explode(F.sequence(F.lit(0), n - 1))).drop("_n")
+    return e.join(f, ["key", "_slice"]).select("follower", "key", "value")

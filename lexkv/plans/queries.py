@@ -320,7 +320,7 @@ def newest_n_per_parent(spark, d):
 @query("SELECT f.follower, e.key, e.value FROM (SELECT printf('%021d', user_id) AS key, event_type AS value FROM events) e JOIN (SELECT printf('%021d', o_custkey) AS key, unnest(list(DISTINCT o_orderkey)) AS follower FROM orders GROUP BY 1) f ON f.key = e.key")
 def fanout(spark, d):
     e = V.read(spark, d, "events").select(K.encode_int(F.col("user_id")).alias("key"), F.col("event_type").alias("value"))
-    f = V.read(spark, d, "orders").groupBy(K.encode_int(F.col("o_custkey")).alias("key")).agg(F.collect_set("o_orderkey").alias("ids"))
+    f = V.read(spark, d, "orders").select(K.encode_int(F.col("o_custkey")).alias("key"), F.col("o_orderkey").alias("follower")).distinct()
     return indexes.fan_out(e, f)
 
 

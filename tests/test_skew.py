@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from lexkv.operators import log as L
-from lexkv.operators import shards, transactions
+from lexkv.operators import indexes, shards, transactions
 from lexkv.sources import storage
 from lexkv.streaming import fold
 
@@ -181,3 +181,10 @@ def test_sequences_after_deletes_and_texts(spark):
     for width in (1, 3, L.RANGE):
         assert {x.seq: x.result for x in L.sequence_numbers(log, width=width).collect()} == {3: 1, 4: 2, 6: None, 8: 9, 10: None, 11: 1}
     assert {x.key: x.value for x in L.sequence_state(log).collect()} == {"s": "1001", "t": "1009", "u": "x"}
+
+
+def test_fan_out_deals_out_hot_keys(spark):
+    followers = spark.range(1000).select(F.when(F.col("id") < 600, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("key"), F.col("id").alias("follower"))
+    events = spark.createDataFrame([("hot", "a"), ("hot", "a"), ("k7", "b"), ("none", "c")], "key string, value string")
+    want = sorted(map(tuple, events.join(followers, "key").select("follower", "key", "value").collect()))
+    assert sorted(map(tuple, indexes.fan_out(events, followers, 100).collect())) == want and len(want) == 1208
