@@ -1,6 +1,6 @@
-"""Removal of repeated strings by distributed prefix doubling on named substrings.
+"""Removal of repeated strings by winnowing and hash names of substrings, in place of prefix doubling.
 
-The rank of a position is a 64-bit name (a hash) of the bytes that start there,
+A position has 64-bit names (hashes, no ranks) of the bytes that start there,
 for growing lengths. Spark brings equal names together, in sorted arrays by
 shard; positions whose name is unique at one length drop out before the next:
 
