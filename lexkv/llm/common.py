@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch; texts are long, so batches are kept short.
 BATCH_ROWS = 1000
+#: Bytes of text whose words are hashed at a time; words over LONG_WORD bytes (a multiple of 8) are hashed one by one.
+HASH_BYTES, LONG_WORD = 1 << 17, 64
 #: Words whose hashes a Python worker remembers before it starts afresh.
 WORD_CACHE = 400_000
 U64 = np.uint64
@@ -45,10 +47,10 @@ def table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, **options) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = table_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -77,6 +79,81 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+#: Bytes of ASCII white space, which separate words.
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20]] = True
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=U64)
+
+
+def _hashed(data: bytes, cuts: Callable | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, sizes and hashes of the words of data, eight bytes of all words at a time."""
+    b = np.frombuffer(data + b" " * 9, dtype=np.uint8)
+    space = _SPACE[b]
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    if not space[0]:
+        edges = np.r_[0, edges]
+    start, end = edges[0::2], edges[1::2]
+    if cuts is not None and len(inner := cuts(b, space)):
+        start, end = np.sort(np.r_[start, inner]), np.sort(np.r_[end, inner])
+    size = end - start
+    eight = np.ndarray((len(b) - 7,), dtype="<u8", buffer=b.data, strides=(1,))
+    h = mix(eight[start] & _LOW_BYTES[np.minimum(size, 8)]) + size.astype(U64)
+    left = np.flatnonzero((size > 8) & (size <= LONG_WORD))
+    for k in range(8, LONG_WORD, 8):
+        left = left[size[left] > k]
+        h[left] = mix(h[left] * U64(0x9E3779B97F4A7C15) + (eight[start[left] + k] & _LOW_BYTES[np.minimum(size[left] - k, 8)]))
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        h[i] = xxhash.xxh64_intdigest(data[start[i] : start[i] + size[i]])
+    return start, size, mix(h)
+
+
+def word_pieces(texts: list[str | None], cuts: Callable | None = None) -> Iterator[tuple]:
+    """Some texts at a time: their bytes, where words start, words' sizes and hashes, and each text's number of words.
+
+    Words are in lower case (A-Z), between ASCII white space; null counts as
+    empty. cuts(bytes, which are white space) gives places inside words to cut at.
+    """
+    n, held = 0, []
+    for k, t in enumerate(texts):
+        held.append(t.encode("utf-8", "surrogatepass") if t else b"")
+        n += len(held[-1])
+        if n >= HASH_BYTES or k + 1 == len(texts):
+            data = b"\n".join(held).lower()
+            start, size, h = _hashed(data, cuts)
+            ends = np.cumsum([len(x) + 1 for x in held])
+            yield data, start, size, h, np.diff(np.r_[0, np.searchsorted(start, ends)])
+            n, held = 0, []
+
+
+def hashed_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts in their order, and each text's number of words."""
+    found = [x[3:] for x in word_pieces(texts)]
+    return (np.concatenate([h for h, _ in found]), np.concatenate([n for _, n in found])) if found else (np.zeros(0, dtype=U64), np.zeros(0, dtype=np.int64))
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values. Sorting whole numbers is faster than np.unique, which hashes them."""
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
+def counted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values and how often each occurs."""
+    x = np.sort(x)
+    first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, dtype=np.int64)
+    return x[first], np.diff(np.r_[first, len(x)])
+
+
+def placed(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct values, a place of each in x, and the place of each of x among them."""
+    order = np.argsort(x)
+    y = x[order]
+    new = np.r_[True, y[1:] != y[:-1]] if len(x) else np.zeros(0, dtype=bool)
+    inverse = np.empty(len(x), dtype=np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return y[new], order[new], inverse
+
+
 class WordHashes(dict):
     """word bytes -> 64-bit hash, remembered up to WORD_CACHE words."""
 

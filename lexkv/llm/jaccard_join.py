@@ -10,6 +10,7 @@ Jaccard similarity of the shingle sets.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import comb
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexkv.llm import lsh
-from lexkv.llm.common import U64, WordHashes, arrow_map, batch, binaries, longs, materialize, mix, rolled, words_of
+from lexkv.llm.common import U64, arrow_map, batch, binaries, distinct, hashed_words, longs, materialize, mix, rolled
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -25,30 +26,30 @@ TOLERANCE = 1e-6
 HASHES, BAND = 128, 4
 STEPS = (16, 32, 64, 128)
 #: Shingles hashed at a time, which bounds the memory a long text takes.
-PIECE = 4096
+PIECE = 2048
 
 _rng = np.random.RandomState(20240601)
-_MUL = (np.frombuffer(_rng.bytes(8 * HASHES), dtype=U64) | U64(1)).reshape(-1, 1)
-_ADD = np.frombuffer(_rng.bytes(8 * HASHES), dtype=U64).reshape(-1, 1)
+_MUL = (np.frombuffer(_rng.bytes(4 * HASHES), dtype=np.uint32) | np.uint32(1)).reshape(-1, 1)
+_ADD = np.frombuffer(_rng.bytes(4 * HASHES), dtype=np.uint32).reshape(-1, 1)
 
 
 def shingles(words: np.ndarray, n: int = WORDS) -> np.ndarray:
     """Sorted distinct hashes of n-word shingles; a shorter text is one shingle, an empty one has none."""
     if not len(words):
         return words
-    return np.unique(rolled(words, min(n, len(words))) + U64(min(n, len(words)) != n))
+    return distinct(rolled(words, min(n, len(words))) + U64(min(n, len(words)) != n))
 
 
 def signature(s: np.ndarray) -> np.ndarray:
-    low = np.full(HASHES, 0xFFFFFFFF, dtype=np.uint32)
+    low, s = np.full(HASHES, 0xFFFFFFFF, dtype=np.uint32), (s >> U64(32)).astype(np.uint32)
     for k in range(0, len(s), PIECE):
-        h = (s[None, k : k + PIECE] * _MUL + _ADD) >> U64(32)
-        low = np.minimum(low, h.min(axis=1).astype(np.uint32))
+        low = np.minimum(low, (s[None, k : k + PIECE] * _MUL + _ADD).min(axis=1))
     return low
 
 
 def class_key(s: np.ndarray) -> int:
-    x = np.array([mix(s).sum() ^ U64(len(s)), np.bitwise_xor.reduce(mix(s ^ U64(0x5851F42D4C957F2D)))], dtype=U64)
+    m = mix(s)
+    x = np.array([m.sum() ^ U64(len(s)), np.bitwise_xor.reduce(m * (s | U64(1)))], dtype=U64)
     return int(mix(mix(x[:1]) + x[1:])[0].astype(np.int64))
 
 
@@ -80,12 +81,20 @@ def bayes_filter(threshold: float, tolerance: float):
     return passes
 
 
+def _shingled(texts: list[str | None]) -> Iterator[np.ndarray]:
+    """The shingles of each text; rolled hashes are made for some texts at once."""
+    for k in range(0, len(texts), 32):
+        h, sizes = hashed_words(texts[k : k + 32])
+        grams, at = rolled(h, WORDS), 0
+        for n in sizes.tolist():
+            yield distinct(grams[at : at + n - WORDS + 1]) if n >= WORDS else shingles(h[at : at + n])
+            at += n
+
+
 def _sketch(batches):
-    hashes = WordHashes()
     for b in batches:
         rid, cid, sig, size = b["rid"], [], [], []
-        for x in b["text"]:
-            s = shingles(hashes.of(words_of(x.as_py())))
+        for s in _shingled(b["text"].to_pylist()):
             size.append(len(s))
             cid.append(class_key(s) if len(s) else None)
             sig.append(signature(s).tobytes() if len(s) else None)
@@ -104,9 +113,8 @@ def _bands(batches):
 
 
 def _sets(batches):
-    hashes = WordHashes()
     for b in batches:
-        sets = [shingles(hashes.of(words_of(x.as_py()))).tobytes() for x in b["text"]]
+        sets = [s.tobytes() for s in _shingled(b["text"].to_pylist())]
         yield batch(comp=b["comp"], cid=b["cid"], copies=b["copies"], payload=binaries(sets))
 
 
