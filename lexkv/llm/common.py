@@ -19,8 +19,6 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 1000
 #: Bytes of text whose words are hashed at a time; words over LONG_WORD bytes (a multiple of 8) are hashed one by one.
 HASH_BYTES, LONG_WORD = 1 << 17, 64
-#: Words whose hashes a Python worker remembers before it starts afresh.
-WORD_CACHE = 400_000
 U64 = np.uint64
 
 
@@ -154,24 +152,6 @@ def placed(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return y[new], order[new], inverse
 
 
-class WordHashes(dict):
-    """word bytes -> 64-bit hash, remembered up to WORD_CACHE words."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORD_CACHE:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=U64, count=len(words))
-
-
-def words_of(text: str | None) -> list[bytes]:
-    """Lower-case (A-Z) words between ASCII white space; null counts as empty."""
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
-
-
 def rolled(h: np.ndarray, n: int) -> np.ndarray:
     """Hashes of the n-grams of a sequence of hashes."""
     if len(h) < n:
