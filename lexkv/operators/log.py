@@ -39,21 +39,30 @@ def after_truncate(log: DataFrame) -> DataFrame:
     return log.join(F.broadcast(cut), F.col("seq") > F.col("_cut")).filter("op <> 'T'").drop("_cut")
 
 
-def counter_state(log: DataFrame) -> DataFrame:
-    """Live (key, value) after sets, deletes and adds, without a window: safe for hot keys.
-
-    The newest set or delete is the base; adds behind it are summed. A missing
-    base counts as 0; a base that is no number fails all adds and stays.
-    try_sum: a sum outside int64 gives null.
+def counter_state(log: DataFrame, start: int = 1, block: int = BLOCK) -> DataFrame:
+    """Live (key, value) after sets, deletes, adds and sequence commands, without a window: safe for hot keys.
+
+    The newest set or delete is the base; adds behind it are summed, and numbers
+    that sequence commands asked for are taken in whole blocks. On a missing base
+    the first of them decides: an add counts from 0, a sequence from start. A
+    base that is no number fails all of them and stays. Sums outside int64 give
+    null.
     """
     writes = last_writes(log).select("key", F.col("op").alias("base_op"), F.col("value").alias("base"), F.col("seq").alias("base_seq"))
-    adds = log.filter("op = 'A'").select("key", "seq", "number")
-    sums = adds.join(writes, "key", "left").filter("base_seq is null or seq > base_seq").groupBy("key").agg(F.expr("try_sum(number)").alias("total"), F.count("*").alias("n"))
+    first = F.coalesce("first", "seq") if "first" in log.columns else F.col("seq")
+    asks = log.filter(F.col("op").isin("A", "Q")).select("key", "seq", "op", "number", first.alias("first"))
+    asks = asks.join(writes.select("key", "base_seq"), "key", "left").filter("base_seq is null or seq > base_seq")
+    is_q = F.col("op") == "Q"
+    total, n = F.expr("try_sum(case when op = 'A' then number end)"), F.sum(F.when(is_q, F.coalesce("number", F.lit(1))))
+    sums = asks.groupBy("key").agg(total.alias("total"), n.cast("long").alias("n"), F.count(F.when(~is_q, 1)).alias("adds"), F.min_by("op", "first").alias("first_op"))
     both = writes.join(sums, "key", "full_outer")
-    start = F.when(F.col("base_op") == "S", int_of_text(F.col("base"))).otherwise(F.lit(0).cast("long"))
-    plain = (F.col("base_op") == "S") & (F.col("n").isNull() | ~is_int_text(F.col("base")))
-    value = F.when(plain, F.col("base")).otherwise(F.try_add(start, F.coalesce("total", F.lit(0).cast("long"))).cast("string"))
-    return both.filter("base_op = 'S' or n is not null").select("key", value.alias("value"))
+    none = F.when(F.col("first_op") == "Q", F.lit(start)).otherwise(F.lit(0)).cast("long")
+    begin = F.when(F.col("base_op") == "S", int_of_text(F.col("base"))).otherwise(none)
+    plain = (F.col("base_op") == "S") & (F.col("first_op").isNull() | ~is_int_text(F.col("base")))
+    added = F.when(F.col("adds") > 0, F.col("total")).otherwise(F.lit(0)).cast("long")
+    taken = F.lit(block).cast("long") * F.ceil(F.coalesce("n", F.lit(0)) / block)
+    value = F.when(plain, F.col("base")).otherwise(F.try_add(F.try_add(begin, added), taken).cast("string"))
+    return both.filter("base_op = 'S' or first_op is not null").select("key", value.alias("value"))
 
 
 def _since_barrier(rows: DataFrame, barrier: Column, base: Column, number: Column, width: int) -> DataFrame:
@@ -128,26 +137,33 @@ def sequence_state(log: DataFrame, start: int = 1, block: int = BLOCK) -> DataFr
 def carried(log: DataFrame) -> DataFrame:
     """What counter_state(after_truncate(log)) needs, as rows of a log again: carried rows of parts of a log, put together, are carried in turn.
 
-    The last truncate; each key's newest set or delete behind it; one add a key
-    for all adds behind that, with the positions of the first and the last. Parts
-    may come in any order, but a set, delete or truncate between two adds that
-    an earlier part has summed cannot be applied any more: that raises an error.
+    The last truncate; each key's newest set or delete behind it; one add and
+    one sequence command a key for all that came behind that, with the positions
+    of the first and the last. Parts may come in any order, but a set, delete or
+    truncate between two commands that an earlier part has summed cannot be
+    applied any more: that raises an error.
     """
     number = F.col("number") if "number" in log.columns else F.lit(None)
-    first = F.col("first") if "first" in log.columns else F.col("seq")
+    first = F.coalesce("first", "seq") if "first" in log.columns else F.col("seq")
     rows = log.select("seq", "op", "key", "value", number.cast("decimal(38,0)").alias("number"), first.alias("first"))
     cut = rows.filter("op = 'T'").agg(F.max("seq").alias("_cut"))
     rows = rows.join(F.broadcast(cut)).filter("op <> 'T' and (_cut is null or seq > _cut)")
     writes = last_writes(rows)
     bases = writes.select("key", F.col("seq").alias("base_seq"))
-    adds = rows.filter("op = 'A'").join(bases, "key", "left").filter("base_seq is null or seq > base_seq")
+    asks = rows.filter(F.col("op").isin("A", "Q")).join(bases, "key", "left").filter("base_seq is null or seq > base_seq")
     late = F.coalesce(F.col("first") <= F.greatest("base_seq", "_cut"), F.lit(False))
-    number = F.when(late, F.raise_error(F.lit("a command came after later adds had been summed"))).otherwise(F.col("number"))
-    adds = adds.groupBy("key").agg(F.max("seq").alias("seq"), F.sum(number).cast("decimal(38,0)").alias("number"), F.min("first").alias("first"))
-    kept = adds.withColumn("op", F.lit("A")).unionByName(writes, allowMissingColumns=True)
+    number = F.when(F.col("op") == "Q", F.coalesce("number", F.lit(1))).otherwise(F.col("number"))
+    number = F.when(late, F.raise_error(F.lit("a command came after later ones had been summed"))).otherwise(number)
+    asks = asks.groupBy("key", "op").agg(F.max("seq").alias("seq"), F.sum(number).cast("decimal(38,0)").alias("number"), F.min("first").alias("first"))
+    kept = asks.unionByName(writes, allowMissingColumns=True)
     return kept.unionByName(cut.filter("_cut is not null").select(F.col("_cut").alias("seq"), F.lit("T").alias("op")), allowMissingColumns=True)
 
 
+def folded_state(rows: DataFrame) -> DataFrame:
+    """Live (key, value) of rows that carried() gives."""
+    return counter_state(after_truncate(rows.withColumn("number", F.col("number").try_cast("long"))))
+
+
 def pending_writes(pending: DataFrame) -> DataFrame:
     """One entry for each key of a batch not yet submitted: its last write."""
     return last_writes(pending).select("key", "op", "value")

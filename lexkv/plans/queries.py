@@ -179,15 +179,58 @@ def counter_state(spark, d):
     return log.counter_state(V.event_log(spark, d))
 
 
-@query("SELECT key, seq, row_number() OVER (PARTITION BY key ORDER BY seq) AS result FROM event_log WHERE op = 'A'", "event_log")
+ASKS = f"(SELECT *, sum(CASE WHEN op = 'A' THEN 1 ELSE 0 END) OVER (PARTITION BY key, grp ORDER BY seq ROWS UNBOUNDED PRECEDING) AS asks, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM {FOLD})"
+FIRST = "CASE WHEN base_op <> 'S' THEN 1 WHEN regexp_full_match(base, '-?[0-9]+') THEN CAST(base AS BIGINT) END"
+
+
+def sequence_log(spark, d):
+    return V.event_log(spark, d).withColumn("op", F.when(F.col("op") == "A", "Q").otherwise(F.col("op")))
+
+
+@query(f"SELECT key, seq, CAST({FIRST} + asks - 1 AS BIGINT) AS result FROM {ASKS} WHERE op = 'A'", "event_log")
 def sequence_next(spark, d):
-    asks = V.event_log(spark, d).filter("op = 'A'").withColumn("op", F.lit("Q"))
-    return log.sequence_numbers(asks)
+    return log.sequence_numbers(sequence_log(spark, d))
 
 
-@query("SELECT key, CAST(1 + 1000 * CAST(ceil(count(*) / 1000) AS BIGINT) AS VARCHAR) AS value FROM event_log WHERE op = 'A' GROUP BY key", "event_log")
+@query(f"SELECT key, coalesce(CAST({FIRST} + 1000 * CAST(ceil(asks / 1000) AS BIGINT) AS VARCHAR), base) AS value FROM {ASKS} WHERE rn = 1 AND asks > 0", "event_log")
 def sequence_state(spark, d):
-    return log.sequence_state(V.event_log(spark, d).filter("op = 'A'").withColumn("op", F.lit("Q")))
+    return log.sequence_state(sequence_log(spark, d))
+
+
+# every kind of command: position 500 truncates, every third add asks for a number of a sequence
+MIXED = """mixed AS (SELECT seq, key, CASE WHEN op = 'A' AND seq % 3 = 0 THEN 'Q' ELSE op END AS op, value, number FROM event_log WHERE seq > 500),
+  grouped AS (SELECT *, sum(CASE WHEN op IN ('S', 'D') THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY seq) AS grp FROM mixed),
+  folded AS (SELECT key, max(CASE WHEN op IN ('S', 'D') THEN op END) AS base_op, max(CASE WHEN op = 'S' THEN value END) AS base, coalesce(sum(number) FILTER (op = 'A'), 0) AS total, count(*) FILTER (op = 'Q') AS asks,
+    arg_min(op, seq) FILTER (op IN ('A', 'Q')) AS first_op FROM (SELECT *, max(grp) OVER (PARTITION BY key) AS newest FROM grouped) WHERE grp = newest GROUP BY key)"""
+MIXED_STATE = f""", {MIXED} SELECT key, CASE WHEN base_op = 'S' AND (first_op IS NULL OR NOT regexp_full_match(base, '-?[0-9]+')) THEN base
+  ELSE CAST(CAST(CASE WHEN base_op = 'S' THEN CAST(base AS BIGINT) WHEN first_op = 'Q' THEN 1 ELSE 0 END + total + 1000 * ceil(asks / 1000) AS BIGINT) AS VARCHAR) END AS value
+  FROM folded WHERE base_op = 'S' OR first_op IS NOT NULL"""
+
+
+def mixed_log(events):
+    op = F.when(F.col("seq") == 500, "T").when((F.col("op") == "A") & (F.col("seq") % 3 == 0), "Q").otherwise(F.col("op"))
+    return events.withColumn("op", op).withColumn("number", F.when(op == "A", F.col("number")))
+
+
+@query(MIXED_STATE, "event_log")
+def mixed_state(spark, d):
+    return log.counter_state(log.after_truncate(mixed_log(V.event_log(spark, d))))
+
+
+@query(MIXED_STATE, "event_log")
+def catch_up_state(spark, d):
+    """A snapshot of the first part of the log, then what came behind it: the state of the whole log."""
+    rows = mixed_log(V.event_log(spark, d))
+    snapshot = log.carried(rows.filter("seq <= 700"))
+    return log.folded_state(log.carried(snapshot.unionByName(log.at_least(rows, 700), allowMissingColumns=True)))
+
+
+@query("SELECT key, op, count(*) AS n FROM event_log WHERE seq > 300 GROUP BY key, op", "event_log")
+def replay_once(spark, d):
+    """A log of which a part was sent twice, applied behind a position: each command counts once."""
+    rows = V.event_log(spark, d)
+    twice = rows.unionByName(rows.filter("seq % 2 = 0")).unionByName(rows.limit(1).withColumn("op", F.lit(None).cast("string")).withColumn("seq", F.lit(-1).cast("long")))
+    return log.at_least(log.applied(twice), 300).groupBy("key", "op").agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT key, value FROM {LAST.replace('event_log WHERE', 'event_log WHERE seq > 500 AND')} WHERE op = 'S'", "event_log")
@@ -382,18 +425,18 @@ def catalog_tables(spark, d):
     return c["tables"].join(c["shards"].groupBy("table_id").agg(F.count("*").alias("n_shards")), "table_id").select("name", "n_shards")
 
 
-@query(f"SELECT key, value FROM {LAST} WHERE op = 'S'", "event_log")
+@query(MIXED_STATE, "event_log")
 def stream_fold(spark, d):
-    """The last-writer-wins state of sets and deletes, kept by a stream over the events that runs until it has read them all."""
+    """The state of commands of every kind, kept by a stream over the events that runs until it has read them all."""
     from lexkv.sources.storage import scratch
     from lexkv.streaming import fold
 
     root, schema = scratch(spark, "stream-fold"), V.read(spark, d, "events").schema
-    rows = V.commands(spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")).filter("op <> 'A'")  # a pattern, as the table may be one file
+    rows = mixed_log(V.commands(spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")))  # a pattern, as the table may be one file
     run = fold.fold_stream(rows, f"{root}/state", f"{root}/checkpoint").trigger(availableNow=True).start()
     run.awaitTermination()
     done = [p["batchId"] for p in run.recentProgress if p["numInputRows"]]
-    return fold.folded(spark, f"{root}/state", max(done)) if done else log.state(V.event_log(spark, d))
+    return fold.folded(spark, f"{root}/state", max(done)) if done else log.folded_state(log.carried(mixed_log(V.event_log(spark, d))))
 
 
 @query("SELECT seq, op, key, value FROM (SELECT *, sum(size) OVER (ORDER BY seq DESC) AS total FROM (SELECT *, coalesce(strlen(key), 0) + coalesce(strlen(value), 0) AS size FROM event_log)) WHERE total <= 100000", "event_log")

@@ -17,7 +17,7 @@ def read_log_stream(spark: SparkSession, path: str, schema: str = LOG, files: in
 
 
 def fold_stream(log: DataFrame, root: str, checkpoint: str, every: int = COMPACT):
-    """Keep the state of a log of sets, deletes, adds and truncates below root, tombstones included; sequence commands are ignored.
+    """Keep the state of a log of sets, deletes, adds, sequence commands and truncates below root, tombstones included.
 
     Each micro-batch writes the fold of its own rows as a chunk; every so many
     batches the chunks since the last base are merged with it into a new base.
@@ -42,8 +42,7 @@ def _chunks(spark: SparkSession, root: str, version: int, base: int) -> DataFram
 
 def folded(spark: SparkSession, root: str, version: int, every: int = COMPACT) -> DataFrame:
     """Live (key, value) at a version (micro-batch) that fold_stream wrote with the same `every`."""
-    rows = log_ops.carried(_chunks(spark, root, version, version - version % every))
-    return log_ops.counter_state(log_ops.after_truncate(rows.withColumn("number", F.col("number").try_cast("long"))))
+    return log_ops.folded_state(log_ops.carried(_chunks(spark, root, version, version - version % every)))
 
 
 def change_feed(versions: DataFrame, seen: int) -> DataFrame:

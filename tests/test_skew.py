@@ -160,7 +160,7 @@ def test_route_join_keeps_all_shards_of_a_large_catalog(spark):
 def test_stream_folds_all_commands(spark, tmp_path):
     r, rows = random.Random(11), []
     for seq in range(600):
-        op = "T" if seq in (130, 371) else r.choice("SDAAAAAA")
+        op = "T" if seq in (130, 371) else r.choice("SDAAAAQQ")
         key = None if op == "T" else r.choice(["adds", "hot", f"k{r.randrange(30)}"])
         rows.append((seq, "A" if key == "adds" else op, key, r.choice(["5", "x", "", "-7"]) if op == "S" and key != "adds" else None, r.randrange(-9, 9) if op == "A" or key == "adds" else None))
     log = spark.createDataFrame(rows, fold.LOG)
