@@ -80,10 +80,11 @@ def display_key(key: Column) -> Column:
 
 
 def human_bytes(n: Column) -> Column:
-    """Size with a unit, three significant places at most: 999 B, 1.5 KB, 20 MB."""
+    """Size with a unit and one decimal place at most: 999 B, 1.5 KB, 20 MB."""
     out = F.concat(n.cast("string"), F.lit(" B"))
     for power, unit in enumerate(("KB", "MB", "GB", "TB", "PB"), 1):
-        out = F.when(n >= 1000**power, F.concat(F.format_number(n / 1000.0**power, "0.#"), F.lit(f" {unit}"))).otherwise(out)
+        size = F.regexp_replace(F.round(n / 1000.0**power, 1).cast("decimal(20,1)").cast("string"), r"\.0$", "")
+        out = F.when(n >= 1000**power, F.concat(size, F.lit(f" {unit}"))).otherwise(out)
     return out
 
 
