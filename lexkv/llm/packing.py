@@ -20,23 +20,33 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from lexkv.llm.common import arrow_map, batch
+from lexkv.llm.common import U64, arrow_map, batch, placed, word_pieces
 
 WINDOW = 2048
 END_ID = 1
 #: Open windows a task holds before it completes them by cutting.
 MAX_OPEN = 2048
-WORDS_KEPT = 800_000
+#: Parts of texts whose ids a Python worker remembers before it starts afresh.
+WORDS_KEPT = 2_000_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
+#: ASCII letters, and marks (an apostrophe may join letters and is none).
+_LETTER, _MARK = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
+_LETTER[ord("a") : ord("z") + 1] = True
+_MARK[0x21:0x7F] = True
+_MARK[[*range(ord("a"), ord("z") + 1), *range(ord("0"), ord("9") + 1), ord("'")]] = False
+#: Lower-case letters that stay as they are in the tokenizer's normal form and make one word.
+LETTERS = "".join(map(chr, [*range(ord("a"), ord("z") + 1), *range(0xDF, 0xF7), *range(0xF8, 0x100)]))
 
-#: Where ASCII marks follow a letter up to white space; there the tokenizer cuts in any case (an apostrophe may not).
-MARKS = re.compile(rb"(?<=[a-z])(?=[^\x00-\x20a-z0-9'\x7f-\xff]+(?:[\x20\x09-\x0d]|\Z))")
 
-
-def words_of(text: str | None) -> list[bytes]:
-    """Parts of a text that the tokenizer never joins. It lowers letters itself, so A-Z are lowered first."""
-    return MARKS.sub(b" ", text.encode("utf-8", "surrogatepass").lower()).split() if text else []
+def mark_cuts(b: np.ndarray, space: np.ndarray) -> np.ndarray:
+    """Where marks follow a letter up to white space; there the tokenizer cuts in any case."""
+    m = _MARK[b]
+    edges = np.flatnonzero(m[1:] != m[:-1]) + 1
+    if m[0]:
+        edges = edges[1:]
+    start, end = edges[0::2], edges[1::2]
+    return start[_LETTER[b[start - 1]] & space[end]]
 
 
 @lru_cache(maxsize=2)
@@ -45,11 +55,13 @@ def word_tokens(path: str) -> WordTokens:
     return WordTokens(path)
 
 
-class WordTokens(dict):
-    """Part of a text -> its token ids as little-endian bytes; see words_of."""
+class WordTokens:
+    """Token ids of texts, made of the ids of their parts, which the tokenizer never joins; known parts are found by hash.
+
+    The tokenizer lowers letters itself, so A-Z are lowered first.
+    """
 
     def __init__(self, path: str):
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -57,40 +69,79 @@ class WordTokens(dict):
         added = self.tokenizer.get_added_tokens_decoder()
         if any(not t.special or t.normalized or t.single_word or t.lstrip or t.rstrip for t in added.values()):
             raise ValueError("added tokens must be special ones that stand for themselves in the raw text")
-        #: Special tokens as text -> id; as keys they are str, so no lowered part is taken for one.
-        self.special = {t.content: np.array([k], dtype="<u4").tobytes() for k, t in added.items()}
+        self.special = {t.content: np.array([k], dtype="<u4") for k, t in added.items()}
         self.between = re.compile(f"({'|'.join(map(re.escape, sorted(self.special, key=len, reverse=True)))})")
-        self.tokenizer.encode_special_tokens = True  # words() takes special tokens out; what looks like one by now is plain text
-        self.update(self.special)
-
-    def words(self, text: str | None) -> list[bytes | str]:
-        """words_of a text, with the special tokens in it, which the tokenizer finds before it lowers letters."""
-        if not text or not any(x in text for x in self.special):
-            return words_of(text)
-        out = []
-        for k, part in enumerate(self.between.split(text)):
-            out += [part] if k % 2 else words_of(part)
-        return out
-
-    def learn(self, words: set[bytes | str]) -> None:
-        new = list(words.difference(self))
-        if len(self) + len(new) > WORDS_KEPT:
-            self.clear()
-            self.update(self.special)
-            new = list(words.difference(self))
-        for lo in range(0, len(new), 4096):
-            part = new[lo : lo + 4096]
-            texts = [w.decode("utf-8", "replace") for w in part]
+        self.tokenizer.encode_special_tokens = True  # ids_of() takes special tokens out; what looks like one by now is plain text
+        # a word of LETTERS alone goes to the tokenizer's model at once, if it takes them as one word
+        pieces = [self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in LETTERS]
+        whole = self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(LETTERS))
+        self.letters = str.maketrans(dict(zip(LETTERS, pieces, strict=True)))
+        self.word = re.compile(f"[{LETTERS}]+" if [x for x, _ in whole] == ["".join(pieces)] else "(?!)").fullmatch
+        self.clear()
+
+    def clear(self) -> None:
+        #: Sorted hashes of parts; the place of each in `bounds`, between whose values its ids are.
+        self.keys, self.place = np.zeros(0, dtype=U64), np.zeros(0, dtype=np.int64)
+        self.bounds, self.ids = np.zeros(1, dtype=np.int64), np.zeros(0, dtype="<u4")
+
+    def encoded(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all parts, and how many each has."""
+        tokenize, letters, word = self.tokenizer.model.tokenize, self.letters, self.word
+        found = [[t.id for t in tokenize(x.translate(letters))] if word(x) else None for x in parts]
+        rest = [k for k, x in enumerate(found) if x is None]
+        for lo in range(0, len(rest), 4096):
+            some = rest[lo : lo + 4096]
             # one text of many words costs less than many texts; offsets tell whose a token is
-            e = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
-            ids = np.array(e.ids, dtype="<u4").tobytes()
-            at = np.array([x for x, _ in e.offsets], dtype=np.int64)
-            begin = np.cumsum([0] + [len(t) + 1 for t in texts])
-            cut = (4 * np.searchsorted(at, begin)).tolist()
-            self.update(zip(part, [ids[x:y] for x, y in zip(cut, cut[1:], strict=False)], strict=True))
-
-    def ids(self, words: list[bytes | str]) -> bytes:
-        return b"".join(map(self.__getitem__, words))
+            e = self.tokenizer.encode(" ".join([parts[k] for k in some]), add_special_tokens=False)
+            begin = np.cumsum([0] + [len(parts[k]) + 1 for k in some])
+            cut, ids = np.searchsorted(np.array([x for x, _ in e.offsets], dtype=np.int64), begin).tolist(), e.ids
+            for k, x, y in zip(some, cut, cut[1:], strict=False):
+                found[k] = ids[x:y]
+        sizes = np.array(list(map(len, found)), dtype=np.int64)
+        return np.fromiter((i for x in found for i in x), dtype="<u4", count=int(sizes.sum())), sizes
+
+    def places(self, pieces: list[tuple]) -> np.ndarray:
+        """The place in `bounds` of every word of word_pieces(); new words are learnt."""
+        u, at, inverse = placed(np.concatenate([p[3] for p in pieces]))
+        if len(self.keys) + len(u) > WORDS_KEPT:
+            self.clear()
+        spot = np.searchsorted(self.keys, u)
+        new = self.keys[spot.clip(max=len(self.keys) - 1)] != u if len(self.keys) else np.ones(len(u), dtype=bool)
+        if new.any():
+            ends = np.cumsum([len(p[3]) for p in pieces])
+            words = []
+            for k in at[new].tolist():
+                n = int(np.searchsorted(ends, k, side="right"))
+                data, start, size, h, _ = pieces[n]
+                k -= int(ends[n]) - len(h)
+                words.append(data[start[k] : start[k] + size[k]].decode("utf-8", "replace"))
+            ids, sizes = self.encoded(words)
+            self.place = np.insert(self.place, spot[new], len(self.bounds) - 1 + np.arange(len(words)))
+            self.keys = np.insert(self.keys, spot[new], u[new])
+            self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(sizes)])
+            self.ids = np.concatenate([self.ids, ids])
+        return self.place[np.searchsorted(self.keys, u)][inverse]
+
+    def plain(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of texts without special tokens."""
+        pieces = list(word_pieces(texts, mark_cuts))
+        if not pieces:
+            return []
+        place = self.places(pieces)
+        size = self.bounds[place + 1] - self.bounds[place]
+        ends = np.cumsum(size)
+        ids = self.ids[np.repeat(self.bounds[place] - ends + size, size) + np.arange(size.sum())]
+        words = np.cumsum(np.concatenate([p[4] for p in pieces]))
+        return np.split(ids, np.r_[0, ends][words[:-1]])
+
+    def ids_of(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of texts, with the special tokens in them, which the tokenizer finds before it lowers letters."""
+        cut = {k: self.between.split(t) for k, t in enumerate(texts) if t and any(x in t for x in self.special)}
+        out = self.plain([None if k in cut else t for k, t in enumerate(texts)])
+        for k, parts in cut.items():
+            between = self.plain(parts[::2])
+            out[k] = np.concatenate([x for pair in zip(between, [*map(self.special.get, parts[1::2]), between[0][:0]], strict=True) for x in pair])
+        return out
 
 
 class Packer:
@@ -222,12 +273,10 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
         packer = Packer(window, TaskContext.get().partitionId() << 32)
         end = np.array([end_id], dtype="<u4").tobytes()
         for b in batches:
-            texts = [tokens.words(x.as_py()) for x in b["text"]]
-            tokens.learn(set().union(*texts))
-            for doc, words in zip(b["doc_id"].to_pylist(), texts, strict=True):
-                packer.add(doc, tokens.ids(words) + end)
+            for doc, ids in zip(b["doc_id"].to_pylist(), tokens.ids_of(b["text"].to_pylist()), strict=True):
+                packer.add(doc, ids.tobytes() + end)
             yield from packer.rows()
         packer.finish()
         yield from packer.rows()
 
-    return arrow_map(docs.select("doc_id", "text"), task, SCHEMA, 500)
+    return arrow_map(docs.select("doc_id", "text"), task, SCHEMA)

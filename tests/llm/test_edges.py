@@ -122,11 +122,12 @@ def test_words_are_tokenized_as_whole_texts():
 
     t, tokens, r = Tokenizer.from_file(tokenizer_path()), packing.WordTokens(tokenizer_path()), np.random.RandomState(5)
     alphabet = list("abzAZ019 \t\n\r\x0b\x0c.,;:!?'\"-_()[]/@#$%&*+=<>~`^|\\") + [" ", "́", "é", "ß", "İ", "ﬁ", "中", "あ", "한", "𝒳", "😀", "​", " ", "’", "…", "\x1c", "\x85", "\x7f", "\x00", "don't", "ing", " the", "[unk]"]
-    for _ in range(4000):
-        text = "".join(alphabet[k] for k in r.randint(0, len(alphabet), r.randint(0, 40)))
-        words = packing.words_of(text)
-        tokens.learn(set(words))
-        assert np.frombuffer(tokens.ids(words), dtype="<u4").tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
+    texts = ["".join(alphabet[k] for k in r.randint(0, len(alphabet), r.randint(0, 40))) for _ in range(4000)]
+    texts += ["".join(packing.LETTERS[k] for k in r.randint(0, len(packing.LETTERS), r.randint(0, 90))) for _ in range(1000)]
+    for k in (*range(0, 300), *range(300, len(texts), 100)):
+        some = texts[k : k + 1 + 99 * (k >= 300)] + [None, ""]
+        for text, ids in zip(some, tokens.ids_of(some), strict=True):
+            assert ids.tolist() == t.encode(text or "", add_special_tokens=False).ids, repr(text)
 
 
 def test_fingerprints(docs, empty):
@@ -241,13 +242,12 @@ def test_special_tokens_are_found_in_raw_texts(spark, monkeypatch):
     parts = [*special, *special, *map(str.upper, special), "<|EndOfText|>", "<|endofte\u212at|>", "<|endoftext", "|>", "<|", "<", "'", "'s", "a", "Z", "9", " ", "\n", ".", ",", "é", "\u0301", "\u0130", "中"]
     texts = ["one two <|endoftext|> three", "<|ENDOFTEXT|>y", *("".join(parts[k] for k in r.randint(0, len(parts), r.randint(1, 12))) for _ in range(4000))]
     want = [t.encode(x, add_special_tokens=False).ids for x in texts]
-    for text, ids in zip(texts, want, strict=True):
-        words = tokens.words(text)
-        tokens.learn(set(words))
-        assert np.frombuffer(tokens.ids(words), dtype="<u4").tolist() == ids, repr(text)
+    for k in range(0, len(texts), 50):
+        for text, got, ids in zip(texts[k : k + 50], tokens.ids_of(texts[k : k + 50]), want[k : k + 50], strict=True):
+            assert got.tolist() == ids, repr(text)
     monkeypatch.setattr(packing, "WORDS_KEPT", 1)
-    tokens.learn(set(tokens.words(texts[0])) | {b"never seen before"})
-    assert len(tokens) == 6 and tokens.ids(tokens.words(texts[0])) == np.array(want[0], dtype="<u4").tobytes()
+    assert tokens.ids_of(texts[:1])[0].tolist() == want[0] and len(tokens.keys) == 3
+    monkeypatch.undo()
     got = packing.pack(spark.createDataFrame(list(enumerate(texts[:200])), "doc_id long, text string"), tokenizer_path()).collect()
     assert {x.doc_id: x.doc_tokens for x in got} == {k: len(ids) + 1 for k, ids in enumerate(want[:200])}
     whole = [x for x in got if x.length == x.doc_tokens]
