@@ -15,8 +15,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch; texts are long, so batches are kept short.
-BATCH_ROWS = 1000
+#: Rows and bytes in an Arrow batch; texts are long, so batches are kept short.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 #: Bytes of text whose words are hashed at a time; words over LONG_WORD bytes (a multiple of 8) are hashed one by one.
 HASH_BYTES, LONG_WORD = 1 << 17, 64
 U64 = np.uint64
@@ -48,19 +48,14 @@ def table_path(spark: SparkSession, name: str) -> str:
 def materialize(df: DataFrame, name: str, **options) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = table_path(df.sparkSession, name)
-    df.write.options(**options).parquet(path)
+    df.write.options(**{"compression": "zstd", **options}).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def pinned(df: DataFrame) -> DataFrame:
-    """df whose file splits are planned here, once: later passes have the same rows in the same tasks, whatever cores are live by then."""
-    spark = df.sparkSession
-    return DataFrame(spark._jsparkSession.internalCreateDataFrame(df._jdf.queryExecution().toRdd(), df._jdf.schema(), False), spark)
-
-
 def arrow_map(df: DataFrame, fn: Callable, schema: str, rows: int = BATCH_ROWS) -> DataFrame:
     """mapInArrow with short batches. fn takes an iterator of record batches."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df.mapInArrow(fn, schema)
 
 

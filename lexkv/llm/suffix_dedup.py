@@ -28,12 +28,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexkv.llm.common import U64, arrow_map, batch, binaries, each_group, longs, mix, pinned, put_file, shared_path, split_by_shard, strings, to_shards
+from lexkv.llm.common import U64, arrow_map, batch, binaries, counted, each_group, longs, materialize, mix, placed, put_file, shared_path, split_by_shard, strings, to_shards
 
 LENGTH = 200
 GRAM = 64
 #: Bytes of a block of documents, of a piece hashed at a time, and of text that a shard stands for.
-BLOCK_BYTES, PIECE_BYTES, SHARD_BYTES = 8 << 20, 1 << 18, 2 << 20
+BLOCK_BYTES, PIECE_BYTES, SHARD_BYTES = 4 << 20, 1 << 18, 4 << 20
 #: Bytes that a piece of a long document reads beyond its own positions.
 BEYOND = 2 * LENGTH
 _MOST = 2 * PIECE_BYTES + BEYOND + 1
@@ -163,24 +163,46 @@ class Block:
             yield p, proven, np.flatnonzero(p.candidates(repeated) & (~proven | p.inside(stand)))
 
 
-def blocks(batches, length: int):
-    """(block id, doc ids, Block) of a task's rows in their order."""
-    part, k, ids, texts, n = TaskContext.get().partitionId(), 0, [], [], 0
+BLOCKS = "block long, ids array<long>, sizes array<long>, data binary"
+
+
+def blocked(docs: DataFrame) -> DataFrame:
+    """docs as a written table of blocks, so that all passes see the same blocks in the same order, however they are split."""
+
+    def task(batches):
+        part, k, ids, texts, n = TaskContext.get().partitionId(), 0, [], [], 0
+
+        def block():
+            return batch(block=longs([part << 24 | k]), ids=pa.array([ids], pa.list_(pa.int64())), sizes=pa.array([list(map(len, texts))], pa.list_(pa.int64())), data=binaries([b"".join(texts)]))
+
+        for b in batches:
+            for doc, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
+                ids.append(doc)
+                texts.append((text or "").encode("utf-8", "surrogatepass"))
+                n += len(texts[-1])
+                if n >= BLOCK_BYTES:
+                    yield block()
+                    k, ids, texts, n = k + 1, [], [], 0
+        if ids:
+            yield block()
+
+    # rows are large: few of them make a row group, which is read at once
+    options = {"parquet.block.row.count.limit": 2, "parquet.page.size.row.check.min": 1}
+    return materialize(arrow_map(docs.select("doc_id", "text"), task, BLOCKS), "suffix-blocks", **options)
+
+
+def each_block(batches, length: int):
+    """(block id, doc ids, Block) of the rows of blocked()."""
     for b in batches:
-        for doc, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
-            ids.append(doc)
-            texts.append((text or "").encode("utf-8", "surrogatepass"))
-            n += len(texts[-1])
-            if n >= BLOCK_BYTES:
-                yield part << 24 | k, ids, Block(texts, length)
-                k, ids, texts, n = k + 1, [], [], 0
-    if ids:
-        yield part << 24 | k, ids, Block(texts, length)
+        for key, ids, sizes, data in zip(b["block"].to_pylist(), b["ids"].to_pylist(), b["sizes"].to_pylist(), b["data"], strict=True):
+            ends = np.cumsum(sizes).tolist()
+            data = data.as_py()
+            yield key, ids, Block([data[e - n : e] for e, n in zip(ends, sizes, strict=True)], length)
 
 
 def _order(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct names sorted, which is by shard as well, and whether they occur again in the block."""
-    u, n = np.unique(names, return_counts=True)
+    u, n = counted(names)
     return u, n > 1
 
 
@@ -199,7 +221,8 @@ def _compared(batches):
     for t in each_group(batches, "shard"):
         parts = [np.frombuffer(x.as_py(), dtype="<u8") for x in t["names"]]
         sizes = [len(x) for x in parts]
-        u, at, inv, n = np.unique(np.concatenate(parts), return_index=True, return_inverse=True, return_counts=True)
+        u, at, inv = placed(np.concatenate(parts))
+        n = np.bincount(inv, minlength=len(u))
         again = np.concatenate([np.unpackbits(np.frombuffer(x.as_py(), dtype=np.uint8), count=k) for x, k in zip(t["again"], sizes, strict=True)])
         repeated = n > 1
         repeated[inv[again > 0]] = True
@@ -229,13 +252,13 @@ def _marked(path: str, block: int, names: np.ndarray) -> tuple[np.ndarray, np.nd
         return u, u
     bits = np.fromfile(file, dtype=np.uint8) if os.path.exists(file) else np.zeros(0, dtype=np.uint8)
     if len(bits) != len(u):
-        raise ValueError("the rows of docs are not the same in every scan; write them to a table first")
+        raise ValueError(f"the bits of block {block} are not those of its names")
     return u[(bits & 1) > 0], u[(bits & 2) > 0]
 
 
 def _round(rows: DataFrame, task, shards: int, name: str) -> str:
     path = shared_path(rows.sparkSession, name)
-    bits = arrow_map(to_shards(arrow_map(rows, task, NAMED), shards), _compared, BITS, 64)
+    bits = arrow_map(to_shards(arrow_map(rows, task, NAMED, 1), shards), _compared, BITS, 64)
     bits = bits.repartition("block").sortWithinPartitions("block", "shard")
     arrow_map(bits, _written(path), "block long", 256).agg(F.count("*")).collect()
     return path
@@ -271,27 +294,24 @@ def removed(docs: DataFrame, length: int = LENGTH, shards: int | None = None, te
     Every byte covered by a string of `length` UTF-8 bytes that starts anywhere
     else as well is removed. Null and empty texts have no bytes; texts shorter
     than length keep all; repeated rows remove each other; a null doc_id stays
-    null; extra columns are ignored; an empty table gives an empty result. docs
-    must be a file scan, whose rows come in the same order each time: this is
-    checked. Two strings of one name that differ are taken as equal; names have
-    64 bits.
+    null; extra columns are ignored; an empty table gives an empty result. Two
+    strings of one name that differ are taken as equal; names have 64 bits.
     """
     if not GRAM <= length <= BEYOND // 2:
         raise ValueError(f"length must be {GRAM} to {BEYOND // 2}")
-    rows = docs.select("doc_id", "text")
+    rows = blocked(docs)
     if shards is None:
-        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        size = rows.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, b: a + b))).first()[0] or 0
         shards = 1 << max(4, min(16, (size // SHARD_BYTES).bit_length()))
-    rows = pinned(rows)  # blocks are numbered by task: all passes need the same splits
 
     def sampled(batches):
-        for key, _, block in blocks(batches, length):
+        for key, _, block in each_block(batches, length):
             yield _rows(key, block.first_names(), shards)
 
     one = _round(rows, sampled, shards, "suffix-sampled")
 
     def whole(batches):
-        for key, _, block in blocks(batches, length):
+        for key, _, block in each_block(batches, length):
             repeated, first = _marked(one, key, block.first_names())
             names = [p.name(at, length) for p, _, at in block.windows(repeated, first)]
             yield _rows(key, np.concatenate(names or [np.zeros(0, dtype=U64)]), shards)
@@ -299,7 +319,7 @@ def removed(docs: DataFrame, length: int = LENGTH, shards: int | None = None, te
     two = _round(rows, whole, shards, "suffix-whole")
 
     def task(batches):
-        for key, ids, block in blocks(batches, length):
+        for key, ids, block in each_block(batches, length):
             out = []
             for doc, b, mask in zip(ids, block.texts, covered(block, one, two, key), strict=True):
                 if mask is None:
@@ -312,4 +332,4 @@ def removed(docs: DataFrame, length: int = LENGTH, shards: int | None = None, te
             kept = {"kept": binaries(cols[5])} if texts else {}
             yield batch(doc_id=longs(cols[0]), n_bytes=longs(cols[1]), n_removed=longs(cols[2]), n_spans=longs(cols[3]), kept_sha256=strings(cols[4]), **kept)
 
-    return arrow_map(rows, task, RESULT + (", kept binary" if texts else ""))
+    return arrow_map(rows, task, RESULT + (", kept binary" if texts else ""), 1)
