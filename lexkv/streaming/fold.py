@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from lexkv.operators import log as log_ops
 
-#: Micro-batches between merges of the state.
-COMPACT = 10
+#: Chunks of a level that are merged into one of the next.
+MERGE = 10
 LOG = "seq long, op string, key string, value string, number long"
 
 
@@ -16,33 +16,47 @@ def read_log_stream(spark: SparkSession, path: str, schema: str = LOG, files: in
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
-def fold_stream(log: DataFrame, root: str, checkpoint: str, every: int = COMPACT):
+def fold_stream(log: DataFrame, root: str, checkpoint: str, every: int = MERGE):
     """Keep the state of a log of sets, deletes, adds, sequence commands and truncates below root, tombstones included.
 
-    Each micro-batch writes the fold of its own rows as a chunk; every so many
-    batches the chunks since the last base are merged with it into a new base.
-    So a batch costs what it brings, not what the state holds. A batch that runs
-    again overwrites its own files, so each command counts once. Returns the
-    query's starter.
+    Each micro-batch writes the fold of its own rows as a chunk of level 0; every
+    so many chunks of a level are merged into one of the next. So a row is
+    written again once a level, not each time that the state is merged. A batch
+    that runs again overwrites its own files, so each command counts once.
+    Returns the query's starter.
     """
 
     def step(batch: DataFrame, epoch: int) -> None:
-        log_ops.carried(batch.filter("op is not null")).write.mode("overwrite").parquet(f"{root}/chunk={epoch}")
-        if epoch and epoch % every == 0:
-            log_ops.carried(_chunks(batch.sparkSession, root, epoch, epoch - every)).write.mode("overwrite").parquet(f"{root}/base={epoch}")
+        done = epoch + 1
+        log_ops.carried(batch.filter("op is not null")).write.mode("overwrite").parquet(_chunk(root, 0, done))
+        level = 1
+        while done % every**level == 0:
+            parts = [_chunk(root, level - 1, done - k * every ** (level - 1)) for k in range(every)]
+            log_ops.carried(batch.sparkSession.read.parquet(*parts)).write.mode("overwrite").parquet(_chunk(root, level, done))
+            level += 1
 
     return log.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
 
 
-def _chunks(spark: SparkSession, root: str, version: int, base: int) -> DataFrame:
-    """The base at an epoch (0: none, chunk 0 stands for it) and all chunks behind it up to a version."""
-    paths = [f"{root}/base={base}" if base else f"{root}/chunk=0", *[f"{root}/chunk={e}" for e in range(base + 1, version + 1)]]
-    return spark.read.parquet(*paths)
+def _chunk(root: str, level: int, upto: int) -> str:
+    """The fold of the last every^level micro-batches of the first `upto`."""
+    return f"{root}/level={level}/upto={upto}"
 
 
-def folded(spark: SparkSession, root: str, version: int, every: int = COMPACT) -> DataFrame:
+def chunks(root: str, version: int, every: int = MERGE) -> list[str]:
+    """The fewest chunks that make up the micro-batches 0 to version: under `every` a level."""
+    done, level, paths = version + 1, 0, []
+    while done:
+        size = every**level
+        over = done % (size * every)
+        paths += [_chunk(root, level, done - k * size) for k in range(over // size)]
+        done, level = done - over, level + 1
+    return paths
+
+
+def folded(spark: SparkSession, root: str, version: int, every: int = MERGE) -> DataFrame:
     """Live (key, value) at a version (micro-batch) that fold_stream wrote with the same `every`."""
-    return log_ops.folded_state(log_ops.carried(_chunks(spark, root, version, version - version % every)))
+    return log_ops.folded_state(log_ops.carried(spark.read.parquet(*chunks(root, version, every))))
 
 
 def change_feed(versions: DataFrame, seen: int) -> DataFrame:
