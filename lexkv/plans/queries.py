@@ -292,11 +292,34 @@ def txn_discarded(spark, d):
     return transactions.discarded(txn_log(spark, d)).groupBy("txn_id").agg(F.count("*").alias("n"))
 
 
-@query()
+# one step of the walk is a release that is due before the next event, or the event
+LOCKS = """WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY major_key ORDER BY ts_ms, session_id, action) AS i FROM
+    (SELECT CAST(user_id % 20 AS VARCHAR) AS major_key, user_id AS session_id, epoch_us(ts) // 2000000 AS ts_ms, CASE event_type WHEN 'error' THEN 'unlock' ELSE 'lock' END AS action FROM events)),
+  n AS (SELECT major_key, max(i) AS n FROM e GROUP BY major_key),
+  walk AS (SELECT major_key, 0::BIGINT AS i, NULL::STRUCT(s BIGINT, asked BIGINT, granted BIGINT) AS holder, []::STRUCT(s BIGINT, asked BIGINT)[] AS waiting,
+      []::STRUCT(session_id BIGINT, asked_ms BIGINT, granted_ms BIGINT, released_ms BIGINT, outcome VARCHAR)[] AS done FROM n
+    UNION ALL
+    SELECT major_key, CASE WHEN due THEN i ELSE i + 1 END,
+      CASE WHEN frees THEN CASE WHEN len(live) > 0 THEN {'s': live[1].s, 'asked': live[1].asked, 'granted': now} END WHEN action = 'lock' AND holder IS NULL THEN {'s': s, 'asked': now, 'granted': now} ELSE holder END,
+      CASE WHEN frees THEN live[2:] WHEN action = 'lock' AND holder IS NOT NULL THEN list_append(waiting, {'s': s, 'asked': now}) WHEN action = 'unlock' THEN list_filter(waiting, lambda x: x.s <> s) ELSE waiting END,
+      CASE WHEN frees THEN list_concat([{'session_id': holder.s, 'asked_ms': holder.asked, 'granted_ms': holder.granted, 'released_ms': now, 'outcome': CASE WHEN due THEN 'lock expired' ELSE 'unlocked' END}],
+          list_transform(list_filter(waiting, lambda x: now - x.asked >= 3000), lambda x: {'session_id': x.s, 'asked_ms': x.asked, 'granted_ms': NULL::BIGINT, 'released_ms': x.asked + 3000, 'outcome': 'wait expired'}))
+        WHEN action = 'unlock' THEN list_transform(list_filter(waiting, lambda x: x.s = s), lambda x: {'session_id': x.s, 'asked_ms': x.asked, 'granted_ms': NULL::BIGINT, 'released_ms': now, 'outcome': 'gave up'})
+        ELSE [] END
+    FROM (SELECT *, due OR (action = 'unlock' AND coalesce(holder.s = s, false)) AS frees, list_filter(waiting, lambda x: now - x.asked < 3000) AS live FROM
+      (SELECT *, CASE WHEN due THEN holder.granted + 3000 ELSE ts_ms END AS now FROM
+        (SELECT w.major_key, w.i, w.holder, w.waiting, e.session_id AS s, e.ts_ms, e.action, w.holder IS NOT NULL AND (e.i IS NULL OR w.holder.granted + 3000 <= e.ts_ms) AS due
+         FROM walk w JOIN n ON n.major_key = w.major_key LEFT JOIN e ON e.major_key = w.major_key AND e.i = w.i + 1 WHERE w.i < n.n OR w.holder IS NOT NULL))))
+SELECT major_key, d.session_id, d.asked_ms, d.granted_ms, d.released_ms, d.outcome FROM (SELECT major_key, unnest(done) AS d FROM walk)"""
+
+
+@query(LOCKS)
 def lock_simulation(spark, d):
     e = V.read(spark, d, "events")
     action = F.when(F.col("event_type") == "error", "unlock").otherwise("lock")
-    return transactions.lock_grants(e.select((F.col("user_id") % 20).cast("string").alias("major_key"), F.col("user_id").alias("session_id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), action.alias("action")))
+    # 2,000 times as fast, so that events meet; whatever the session's time zone
+    ts = F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ)) div 2000")
+    return transactions.lock_grants(e.select((F.col("user_id") % 20).cast("string").alias("major_key"), F.col("user_id").alias("session_id"), ts.alias("ts_ms"), action.alias("action")))
 
 
 # indexes
