@@ -11,13 +11,14 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexkv.llm.common import arrow_map, batch, longs, materialize, strings
+from lexkv.llm.common import U64, arrow_map, batch, longs, materialize, mix, strings
 
 #: Labelled rows the lexicons are induced from, and rows the classifier is fit on, at most; chosen by hash of doc_id.
 FIT_ROWS = 20_000
@@ -27,8 +28,6 @@ LEAST_ODDS, LEAST_ERRORS = 20.0, 2.9
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.3
 WORD = re.compile(r"[^\W\d_]+")
-#: Words that a worker remembers.
-WORDS_KEPT = 300_000
 VOTERS = (
     ("word group 0", 1), ("word group 1", 1), ("word group 2", 1), ("prefix group 0", 1), ("prefix group 1", 1), ("two words", 1), ("three prefixed words", 1), ("dense", 1),
     ("no word", 0), ("at most one prefixed", 0), ("sparse", 0), ("shouting", 1),
@@ -45,46 +44,131 @@ def held_out(doc_id: Column) -> Column:
 _NOT_UPPER = bytes(c for c in range(256) if not 65 <= c <= 90)
 
 
-class Hits(dict):
-    """word -> (strength, group, strength and group of its strongest beginning), or None for a word without entries."""
+#: Code points whose words are hashed at a time; longer texts are cut between words.
+PIECE = 1 << 16
+_BASE, _INVERSE = 0xD1342543DE82EF95, pow(0xD1342543DE82EF95, -1, 1 << 64)
 
-    def __init__(self, entries: dict[str, tuple[float, int]]):
-        super().__init__()
-        self.entries = entries
 
-    def __missing__(self, word: str):
-        if len(self) >= WORDS_KEPT:
-            self.clear()
-        none = (0.0, -1)
-        w = self.entries.get(word, none)
-        p = max((self.entries.get(word[:n] + "*", none) for n in PREFIXES if len(word) > n), default=none)
-        x = self[word] = (*w, *p) if w[0] or p[0] else None
-        return x
+@lru_cache(maxsize=1)
+def letters() -> np.ndarray:
+    """Which code points WORD takes."""
+    return np.fromiter((c.isalnum() and not c.isdecimal() for c in map(chr, range(0x110000))), dtype=bool, count=0x110000)
 
 
-@dataclass
-class Lexicon:
-    """entry -> (strength, group); words as they are, beginnings with a trailing *."""
+@lru_cache(maxsize=2)
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.concatenate([np.ones(1, dtype=U64), np.cumprod(np.full(n, base, dtype=U64))])
+
+
+class Words:
+    """The words of some code points: where they start, their sizes and hashes of their beginnings."""
+
+    def __init__(self, codes: np.ndarray):
+        is_letter = np.concatenate([[False], letters()[codes], [False]])
+        edges = np.flatnonzero(is_letter[1:] != is_letter[:-1])
+        self.start, self.size = edges[0::2], edges[1::2] - edges[0::2]
+        n = max(2 * PIECE, 1 << int(len(codes)).bit_length())
+        self.sums = np.concatenate([np.zeros(1, dtype=U64), np.cumsum(mix(codes.astype(U64) + U64(1)) * _powers(_BASE, n)[: len(codes)], dtype=U64)])
+        self.back = _powers(_INVERSE, n)[self.start]
+
+    def hashes(self, of: np.ndarray | slice, size: np.ndarray | int) -> np.ndarray:
+        """Hashes of the first `size` letters of the words `of`."""
+        start = self.start[of]
+        return mix((self.sums[start + size] - self.sums[start]) * self.back[of])
+
 
-    entries: dict[str, tuple[float, int]]
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
 
-    def __post_init__(self):
-        self.hits = Hits(self.entries)
 
-    def features(self, text: str) -> tuple[list[float], int]:
-        """Numbers for the classifier, and the voters that fire as bits."""
-        words = WORD.findall(text.lower())
-        n = max(len(words), 1)
-        hits = [(w, *x) for w, x in zip(words, map(self.hits.__getitem__, words), strict=True) if x]
-        lex = [h for h in hits if h[1]]
-        pre = [h for h in hits if h[3]]
-        n_word, n_pre, kinds, pre_kinds = len(lex), len(pre), len({h[0] for h in lex}), len({h[0] for h in pre})
-        groups, pre_groups = {h[2] for h in lex}, [h[4] for h in pre]
-        strong = sum(h[1] > 6 for h in lex)
-        upper = len(text.encode("utf-8", "surrogatepass").translate(None, _NOT_UPPER)) / max(len(text), 1)
-        votes = [0 in groups, 1 in groups, 2 in groups, pre_groups.count(0) > 1, pre_groups.count(1) > 1, kinds > 1, pre_kinds > 2, (n_word + n_pre) / n > 0.01, not n_word, n_pre < 2, (n_word + n_pre) / n < 0.002, upper > 0.4]
-        x = [np.log1p(n_word), np.log1p(n_pre), np.log1p(kinds), np.log1p(pre_kinds), np.log1p(strong), n_word > 0, n_word > 1, n_pre > 1, pre_kinds > 2, 100 * n_word / n, 100 * n_pre / n, sum(h[1] for h in lex) / (5 + n_word), sum(h[3] for h in pre) / (5 + n_pre), np.log1p(n)]
-        return [float(v) for v in x], sum(1 << k for k, v in enumerate(votes) if v)
+def _pieces(texts: list[str]):
+    """(code points, places of texts, where each begins) of whole texts together, or of a part of a long one, cut between words."""
+    held, at, n = [], [], 0
+    for k, t in enumerate(texts):
+        if len(t) > PIECE:
+            codes = _codes(t)
+            cuts = np.flatnonzero(~letters()[codes])
+            cuts = np.unique(cuts[np.searchsorted(cuts, np.arange(PIECE, len(codes), PIECE)).clip(max=len(cuts) - 1)]) if len(cuts) else cuts
+            for part in np.split(codes, cuts):
+                yield part, np.array([k]), np.zeros(1, dtype=np.int64)
+            continue
+        held.append(t)
+        at.append(k)
+        n += len(t) + 1
+        if n >= PIECE:
+            yield _codes("\n".join(held)), np.array(at), np.cumsum([0] + [len(x) + 1 for x in held[:-1]])
+            held, at, n = [], [], 0
+    if held:
+        yield _codes("\n".join(held)), np.array(at), np.cumsum([0] + [len(x) + 1 for x in held[:-1]])
+
+
+class Lexicon:
+    """entry -> (strength, group); words as they are, beginnings with a trailing *."""
+
+    def __init__(self, entries: dict[str, tuple[float, int]]):
+        self.entries = entries
+        #: Length of the beginning (0: whole words) -> sorted hashes, strengths and groups.
+        self.tables = {}
+        for n in (0, *PREFIXES):
+            part = {e.rstrip("*"): v for e, v in entries.items() if (len(e) - 1 if e.endswith("*") else 0) == n}
+            h = np.array([Words(_codes(e)).hashes(slice(None), len(e))[0] for e in part], dtype=U64)
+            order = np.argsort(h)
+            values = np.array(list(part.values()), dtype=float).reshape(-1, 2)[order]
+            self.tables[n] = h[order], values[:, 0], values[:, 1].astype(np.int64)
+
+    def _found(self, n: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        keys, strength, group = self.tables[n]
+        if not len(keys):
+            return np.zeros(0, dtype=np.int64), strength, group
+        at = np.searchsorted(keys, h).clip(max=len(keys) - 1)
+        hit = np.flatnonzero(keys[at] == h)
+        return hit, strength[at[hit]], group[at[hit]]
+
+    def hits(self, texts: list[str]) -> tuple[np.ndarray, tuple, tuple]:
+        """Words of each text; of words with an entry, and with a beginning that has one, the text, hash, strength and group."""
+        n = np.zeros(len(texts), dtype=np.int64)
+        whole, begun = [], []
+        for codes, at, begins in _pieces(texts):
+            w = Words(codes)
+            text = at[np.searchsorted(begins, w.start, side="right") - 1]
+            n += np.bincount(text, minlength=len(texts))
+            h = w.hashes(slice(None), w.size)
+            hit, strength, group = self._found(0, h)
+            whole.append((text[hit], h[hit], strength, group))
+            best, of = np.zeros(len(h)), np.full(len(h), -1)
+            for k in PREFIXES:
+                longer = np.flatnonzero(w.size > k)
+                hit, strength, group = self._found(k, w.hashes(longer, k))
+                hit = longer[hit]
+                more = (strength > best[hit]) | ((strength == best[hit]) & (group > of[hit]))
+                best[hit[more]], of[hit[more]] = strength[more], group[more]
+            hit = np.flatnonzero(best)
+            begun.append((text[hit], h[hit], best[hit], of[hit]))
+        joined = [tuple(np.concatenate(c) for c in zip(*x, strict=True)) if x else (np.zeros(0, dtype=np.int64),) * 4 for x in (whole, begun)]
+        return n, *joined
+
+    def features(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers for the classifier, and the voters that fire as bits, of each text."""
+        m = len(texts)
+        total, (text, h, strength, group), (p_text, p_h, p_strength, p_group) = self.hits([t.lower() for t in texts])
+        n = np.maximum(total, 1)
+
+        def per_text(at: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
+            return np.bincount(at, weights=weights, minlength=m)
+
+        def kinds_of(at: np.ndarray, words: np.ndarray) -> np.ndarray:
+            order = np.lexsort((words, at))
+            a, w = at[order], words[order]
+            return per_text(a[np.r_[True, (a[1:] != a[:-1]) | (w[1:] != w[:-1])]] if len(a) else a)
+
+        n_word, n_pre, kinds, pre_kinds = per_text(text), per_text(p_text), kinds_of(text, h), kinds_of(p_text, p_h)
+        strong = per_text(text[strength > 6])
+        upper = np.array([len(t.encode("utf-8", "surrogatepass").translate(None, _NOT_UPPER)) / max(len(t), 1) for t in texts])
+        groups = [per_text(text[group == g]) > 0 for g in range(3)]
+        pre_groups = [per_text(p_text[p_group == g]) > 1 for g in range(2)]
+        votes = [*groups, *pre_groups, kinds > 1, pre_kinds > 2, (n_word + n_pre) / n > 0.01, n_word == 0, n_pre < 2, (n_word + n_pre) / n < 0.002, upper > 0.4]
+        x = [np.log1p(n_word), np.log1p(n_pre), np.log1p(kinds), np.log1p(pre_kinds), np.log1p(strong), n_word > 0, n_word > 1, n_pre > 1, pre_kinds > 2, 100 * n_word / n, 100 * n_pre / n, per_text(text, strength) / (5 + n_word), per_text(p_text, p_strength) / (5 + n_pre), np.log1p(n)]
+        return np.stack(x, axis=1).astype(float), sum(np.asarray(v, dtype=np.int64) << k for k, v in enumerate(votes))
 
 
 def sampled(rows: DataFrame, n: int, total: int) -> DataFrame:
@@ -212,20 +296,23 @@ class Classifier:
     scale: np.ndarray
     weights: np.ndarray
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
-        x = np.array([self.lexicon.features(t or "")[0] for t in texts], dtype=float).reshape(-1, FEATURES)
+    def features(self, texts: list[str | None]) -> np.ndarray:
+        return self.lexicon.features([t or "" for t in texts])[0]
+
+    def scores(self, x: np.ndarray) -> np.ndarray:
         z = (x - self.mean) / self.scale
         return 1 / (1 + np.exp(-((z * self.weights[:-1]).sum(axis=1) + self.weights[-1]).clip(-30, 30)))
 
 
-def trained(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Classifier:
+def trained(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[Classifier, DataFrame]:
+    """The classifier, and a written table (doc_id, held_out, x, pattern) with the features and votes of every row of docs."""
     lexicon, known = induced(docs, labels, fit_rows)
 
     def votes(batches):
         for b in batches:
-            found = [lexicon.features(t or "") for t in b["text"].to_pylist()]
-            x = pa.array([f for f, _ in found], pa.list_(pa.float64()))
-            yield batch(doc_id=b["doc_id"], held_out=b["held_out"], x=x, pattern=longs([v for _, v in found]))
+            x, pattern = lexicon.features([t or "" for t in b["text"].to_pylist()])
+            x = pa.ListArray.from_arrays(np.arange(0, x.size + 1, FEATURES, dtype=np.int32), x.ravel())
+            yield batch(doc_id=b["doc_id"], held_out=b["held_out"], x=x, pattern=longs(pattern))
 
     rows = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
     rows = materialize(arrow_map(rows, votes, "doc_id long, held_out boolean, x array<double>, pattern long"), "toxic-votes")
@@ -235,14 +322,14 @@ def trained(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Cla
     patterns = np.array([r.pattern for r in counted], dtype=np.int64)
     counts = np.array([r.n for r in counted], dtype=float)
     if not len(patterns):
-        return Classifier(lexicon, np.zeros(FEATURES), np.ones(FEATURES), np.r_[np.zeros(FEATURES), -3.0])
+        return Classifier(lexicon, np.zeros(FEATURES), np.ones(FEATURES), np.r_[np.zeros(FEATURES), -3.0]), rows
     model = LabelModel(patterns, counts, np.array([[r.no, r.yes] for r in counted], dtype=float))
     posterior = dict(zip(patterns.tolist(), model.post.tolist(), strict=True))
     fit = sampled(rows.filter(~F.col("held_out")).select("doc_id", "x", "pattern"), fit_rows, int(counts.sum())).collect()
     if not fit:
-        return Classifier(lexicon, np.zeros(FEATURES), np.ones(FEATURES), np.r_[np.zeros(FEATURES), -3.0])
+        return Classifier(lexicon, np.zeros(FEATURES), np.ones(FEATURES), np.r_[np.zeros(FEATURES), -3.0]), rows
     x = np.array([r.x for r in fit], dtype=float)
-    return Classifier(lexicon, *fitted(x, np.array([posterior[r.pattern] for r in fit])))
+    return Classifier(lexicon, *fitted(x, np.array([posterior[r.pattern] for r in fit]))), rows
 
 
 def scored(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
@@ -255,23 +342,22 @@ def scored(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Data
     labels or rows the scores are low and constant. Repeated rows repeat; extra
     columns are ignored; an empty table gives an empty result.
     """
-    model = trained(docs, labels, fit_rows)
+    model, rows = trained(docs, labels, fit_rows)
 
     def task(batches):
         for b in batches:
-            s = model.scores(b["text"].to_pylist())
+            s = model.scores(b["x"].flatten().to_numpy().reshape(-1, FEATURES))
             yield batch(doc_id=b["doc_id"], held_out=b["held_out"], score=s, predicted=pa.array((s >= THRESHOLD).astype(np.int32)))
 
-    rows = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
-    return arrow_map(rows, task, "doc_id long, held_out boolean, score double, predicted int")
+    return arrow_map(rows.select("doc_id", "held_out", "x"), task, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def accepted(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """The rows of docs, all columns, that are not predicted to be toxic."""
-    model = trained(docs, labels, fit_rows)
+    model, _ = trained(docs, labels, fit_rows)
 
     def task(batches):
         for b in batches:
-            yield b.filter(pa.array(model.scores(b["text"].to_pylist()) < THRESHOLD))
+            yield b.filter(pa.array(model.scores(model.features(b["text"].to_pylist())) < THRESHOLD))
 
     return arrow_map(docs, task, ", ".join(f"`{c}` {t}" for c, t in docs.dtypes))
