@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexkv.llm.common import materialize
+
 #: Weights by the source's place, repeating; the mix's share of all tokens; most copies of a document.
 WEIGHTS = (5.0, 2.0, 1.0)
 BUDGET, MAX_COPIES = 1.5, 2
@@ -22,7 +24,7 @@ SEED = 42
 MAX_SOURCES = 10_000
 #: Rows a bucket of a source's shuffled order holds on average.
 BUCKET_ROWS = 1024
-#: Columns that queued() adds or uses on the way.
+#: Columns that a mix adds or uses on the way.
 ADDED = ("source_size", "target", "cum", "n", "_source", "_key", "_bucket", "_tag", "_in", "_ahead")
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -54,29 +56,36 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, budget: float = BUDGET, co
     return s.select("source", "source_size", "n", target.alias("target"))
 
 
-def queued(docs: DataFrame, targets: DataFrame | None = None, seed: int = SEED, weights=WEIGHTS, budget: float = BUDGET, copies: int = MAX_COPIES) -> DataFrame:
-    """docs with size, source_size, target and cum, the words of the source's queue up to the document's end.
+def sized(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, size) of docs, written, so that words are counted once for all that needs no texts."""
+    return materialize(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "mix-sizes")
 
-    The order is a seeded hash of doc_id; rows that tie are ordered by size.
-    A source's running sums are made in buckets of the hash, so that no task
-    holds a whole source: sums of buckets first, then sums inside each.
-    """
-    rows = docs.drop(*ADDED).withColumn("size", n_words(F.col("text")))
-    if targets is None:
-        targets = source_targets(rows.select("source", "size"), weights, budget, copies)
+
+def _placed(rows: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
+    """rows with their source's size and target, the place in its shuffled order (_key) and a bucket of that order."""
     t = targets.select(F.col("source").alias("_source"), "source_size", "n", "target")
     few = F.broadcast(t)  # MAX_SOURCES rows at most, else source_targets raises
     rows = rows.join(few, rows["source"].eqNullSafe(t["_source"])).drop("_source")
     rows = rows.withColumn("_key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))))
     buckets = F.ceil(F.col("n") / BUCKET_ROWS)
     rows = rows.withColumn("_bucket", F.floor(F.conv(F.substring("_key", 1, 8), 16, 10).cast("double") / 2.0**32 * buckets).cast("long")).drop("n")
-    tag = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null"))
-    rows = rows.withColumn("_tag", tag)
-    sums = rows.groupBy("_tag", "_bucket").agg(F.sum("size").alias("_sum"))
+    return rows.withColumn("_tag", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null")))
+
+
+def queued(rows: DataFrame, sizes: DataFrame, seed: int = SEED, weights=WEIGHTS, budget: float = BUDGET, copies: int = MAX_COPIES) -> DataFrame:
+    """rows, which have a size, with source_size, target and cum, the words of the source's queue up to the document's end.
+
+    sizes: sized() of the same rows. The order is a seeded hash of doc_id; rows
+    that tie are ordered by size. A source's running sums are made in buckets of
+    the hash, so that no task holds a whole source: sums of buckets first, then
+    sums inside each.
+    """
+    targets = source_targets(sizes.select("source", "size"), weights, budget, copies)
+    sums = _placed(sizes, targets, seed).groupBy("_tag", "_bucket").agg(F.sum("size").alias("_sum"))
     ahead = Window.partitionBy("_tag").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("_tag", "_bucket", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_ahead"))
     inside = Window.partitionBy("_tag", "_bucket").orderBy("_key", F.col("doc_id"), "size").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_in", F.sum("size").over(inside)).join(sums, ["_tag", "_bucket"])
+    rows = _placed(rows, targets, seed).withColumn("_in", F.sum("size").over(inside)).join(sums, ["_tag", "_bucket"])
     return rows.withColumn("cum", F.col("_in") + F.col("_ahead")).drop("_tag", "_bucket", "_in", "_ahead")
 
 
@@ -106,15 +115,16 @@ def mixed(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, copies: int
     ordered like any other. Empty tables give empty results. Other columns
     stay, but added ones replace those of the same name.
     """
-    docs = docs.drop("copy", "virtual_finish", "taken", "_copy")
-    q = queued(docs, None, seed, weights, budget, copies).withColumn("_copy", F.explode(served(copies)))
+    docs = docs.drop("copy", "virtual_finish", "taken", "_copy", *ADDED)
+    q = queued(docs.withColumn("size", n_words(F.col("text"))), sized(docs), seed, weights, budget, copies).withColumn("_copy", F.explode(served(copies)))
     q = q.filter("_copy.taken > 0").select("*", "_copy.*").drop("_copy")
     return q.orderBy("virtual_finish", "_key", "copy").drop("_key", "cum")
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target and taken words of each row of docs, copies summed."""
-    q = queued(docs.select("doc_id", "text", "source"))
+    sizes = sized(docs)
+    q = queued(sizes, sizes)
     taken = F.aggregate(F.transform(served(), lambda c: c["taken"]), F.lit(0).cast("long"), lambda a, b: a + b)
     return q.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
