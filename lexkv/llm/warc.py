@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexkv.llm.common import arrow_map, batch, table_path
+from lexkv.llm.common import arrow_map, batch, materialize, table_path
 
 #: Payloads below this many bytes are always written in full.
 LEAST_BYTES = 100
@@ -32,11 +32,12 @@ def planned(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """pages with payload (html, null: empty), payload_digest, payload_bytes, record_type and refers_to.
 
     Of rows with equal payloads of at least least_bytes, the first by
-    (page_id, place in the scan; null ids last) is the response.
+    (page_id, place; null ids last) is the response. Rows are written once with
+    their place and digest, which any later scan then finds the same.
     """
-    rows = pages.select("page_id", "url", "html").withColumn("rid", F.monotonically_increasing_id())
-    rows = rows.withColumn("payload", F.coalesce("html", F.lit(""))).drop("html")
+    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload")).withColumn("rid", F.monotonically_increasing_id())
     rows = rows.withColumn("payload_digest", F.sha2("payload", 256)).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
+    rows = materialize(rows, "warc-rows")
     me = F.struct(F.col("page_id").isNull().alias("no"), "page_id", "rid")
     first = rows.filter(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(F.min(me).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     rows = rows.join(first, "payload_digest", "left")
@@ -156,7 +157,7 @@ def archive_round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
     record_type, refers_to, record_id. A null html is an empty payload, a null
     url is written as about:blank, a null page_id stays null; of repeated rows
     the first is the response; extra columns are ignored; an empty table gives
-    an empty result. pages must be a file scan (rows are told apart by place).
+    an empty result.
     """
     spark = pages.sparkSession
     path = path or table_path(spark, "warc")
